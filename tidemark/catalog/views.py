@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,7 @@ class Views:
         self.spark = spark
         self.dir = sf_dir
 
+    @cache
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
@@ -28,6 +31,7 @@ class Views:
     def _key(col: str, prefix: str = "S"):
         return F.concat(F.lit(prefix), F.lpad(F.col(col).cast("string"), 10, "0"))
 
+    @cache
     def lines(self) -> DataFrame:
         money = "decimal(18,2)"
         return self.table("lineitem").select(
@@ -38,6 +42,7 @@ class Views:
             "l_returnflag", "l_linestatus",
         )
 
+    @cache
     def prices(self) -> DataFrame:
         daily = self.lines().groupBy("ticker", "day").agg(
             F.sum("ext").cast("double").alias("sum_ext"), F.sum("qty").cast("double").alias("sum_qty"),
@@ -50,6 +55,7 @@ class Views:
             (close * (F.lit(1.0) - F.col("sum_disc") / F.col("n"))).alias("adj_close"), "volume",
         )
 
+    @cache
     def universe(self) -> DataFrame:
         nation, region = self.table("nation"), self.table("region")
         # nation and region have one row per country and continent
@@ -67,6 +73,7 @@ class Views:
             )
         )
 
+    @cache
     def issuers(self) -> DataFrame:
         return (
             self.table("supplier")
@@ -78,6 +85,7 @@ class Views:
             )
         )
 
+    @cache
     def quarter_wide(self) -> DataFrame:
         zero = F.lit(0).cast("decimal(18,2)")
 
@@ -98,6 +106,7 @@ class Views:
             )
         )
 
+    @cache
     def quarters(self) -> DataFrame:
         return (
             self.quarter_wide()
@@ -108,6 +117,7 @@ class Views:
             )
         )
 
+    @cache
     def fiscal(self) -> DataFrame:
         month, fye = F.month("end_date"), F.col("fye_month")
         return self.quarters().join(self.issuers(), "ticker").select(
@@ -116,6 +126,7 @@ class Views:
             F.when(month == fye, 4).otherwise(((month - fye + 12) % 12 / 3)).cast("int").alias("fiscal_quarter"),
         )
 
+    @cache
     def cumulative(self) -> DataFrame:
         w = (
             Window.partitionBy("ticker", "metric", "fiscal_year").orderBy("fiscal_quarter")
@@ -131,6 +142,7 @@ class Views:
     def _calendar():
         return F.concat(F.lit("FYE"), F.lpad(F.col("fye_month").cast("string"), 2, "0"))
 
+    @cache
     def obs(self) -> DataFrame:
         cum = self.cumulative()
         fq = F.col("fiscal_quarter")
@@ -163,6 +175,7 @@ class Views:
         )
         return first.unionByName(again).select(*OBS_COLS)
 
+    @cache
     def provider(self) -> DataFrame:
         shift = F.dayofweek("end_date") - 1
         return self.fiscal().select(
@@ -181,9 +194,11 @@ class Views:
             F.lit(False).alias("restated"),
         ).select(*OBS_COLS)
 
+    @cache
     def all_obs(self) -> DataFrame:
         return self.obs().unionByName(self.provider())
 
+    @cache
     def ledger(self) -> DataFrame:
         obs = self.obs()
         concept = (
@@ -210,6 +225,7 @@ class Views:
                               F.floor(F.col("value") / 2).cast("double"), F.col("filed"), "ProductLine"))
         )
 
+    @cache
     def filings(self) -> DataFrame:
         priority = F.col("o_orderpriority")
         form = (
@@ -228,6 +244,7 @@ class Views:
             "o_orderkey",
         )
 
+    @cache
     def estimates(self) -> DataFrame:
         back = Window.partitionBy("ticker", "metric").orderBy(F.desc("end_date"))
         forth = Window.partitionBy("ticker", "metric").orderBy("end_date")
@@ -239,6 +256,7 @@ class Views:
             F.floor(F.col("value") * F.when(F.col("rn") == 1, 1.25).otherwise(1.5)).cast("double").alias("value"),
         )
 
+    @cache
     def blocks(self) -> DataFrame:
         role = F.col("role")
         return self.table("conversations").select(
@@ -248,6 +266,7 @@ class Views:
             .otherwise("Operator").alias("role"), "text",
         )
 
+    @cache
     def paragraphs(self) -> DataFrame:
         return (
             self.table("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))

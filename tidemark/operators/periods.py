@@ -57,59 +57,66 @@ def dedupe_economic_periods(obs: DataFrame) -> DataFrame:
     Ends at most 7 days apart form a cluster. Inside it, in order: a year-minus-nine-months quarter that was
     filed last, better date authority, the later filing of the same provider, a restated row, and the better
     provider. Rows of equal authority that differ by more than 0.1 % and are not restated all stay.
+
+    After ``fold_filings`` a cluster holds one row per provider and bounds, so its few rows are compared as an
+    array; clusters are found by the only ordered window of the plan.
     """
     c = F.col
     if "dedup_status" not in obs.columns:
         obs = obs.withColumns({"dedup_status": F.lit(None).cast("string"), "conflict": F.lit(None).cast("string")})
-    columns = obs.columns
-    rows = fold_filings(obs)
+    columns = [x for x in obs.columns if x not in ("economic_period_key", "alternatives", "selection_reason")]
     series = [*SERIES, "period_type"]
     by_end = Window.partitionBy(*series).orderBy("end_date", "filed", "source_id")
-    starts = F.coalesce(F.datediff("end_date", F.lag("end_date").over(by_end)) > TOLERANCE_DAYS, F.lit(True)).cast("int")
-    rows = rows.withColumn("__new", starts)
+    rows = fold_filings(obs).withColumn(
+        "__new", F.coalesce(F.datediff("end_date", F.lag("end_date").over(by_end)) > TOLERANCE_DAYS, F.lit(True)).cast("int"))
     island = F.sum("__new").over(by_end.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     label = F.concat_ws(":", "calendar_id", c("fiscal_year").cast("string"), c("fiscal_quarter").cast("string"))
-    rows = rows.withColumn("__cluster", F.when(c("end_date").isNotNull(), island.cast("string")).otherwise(label)).drop("__new")
-    cluster = Window.partitionBy(*series, "__cluster")
+    rows = rows.withColumn("__cluster", F.when(c("end_date").isNotNull(), island.cast("string")).otherwise(label))
     labelled = Window.partitionBy(*series, "calendar_id", "fiscal_year", "fiscal_quarter")
-    rows = rows.withColumns({
-        "__auth": _lookup(c("authority"), AUTHORITY_RANK, 0), "__last": F.max("filed").over(cluster),
-        "__split": c("fiscal_quarter").isNotNull() & (F.min("__cluster").over(labelled) != F.max("__cluster").over(labelled)),
-        "__rows": F.count("*").over(cluster), "__copies": F.sum("copies").over(cluster), "__key_start": F.min("start_date").over(cluster),
+    row = F.struct(
+        *[c(x) for x in columns if x not in series], c("copies"), _lookup(c("authority"), AUTHORITY_RANK, 0).alias("auth"),
+        (_lookup(c("provider"), PROVIDER_RANK, 100) + F.when(c("accession").isNotNull(), 20).otherwise(0)).alias("rank"),
+        (c("fiscal_quarter").isNotNull() & (F.min("__cluster").over(labelled) != F.max("__cluster").over(labelled))).alias("split"))
+    clusters = rows.select(*series, "__cluster", row.alias("row")).groupBy(*series, "__cluster").agg(F.collect_list("row").alias("xs"))
+    highest = lambda items, field: F.array_max(F.transform(items, lambda x: x[field]))
+    # most clusters hold one row; the comparison columns stay null for them
+    several_rows = F.size("xs") > 1
+    clusters = clusters.withColumns({
+        "__filed": F.when(several_rows, highest(c("xs"), "filed")), "__auth": F.when(several_rows, highest(c("xs"), "auth")),
+        "__copies": F.when(several_rows, F.aggregate("xs", F.lit(0).cast("bigint"), lambda total, x: total + x["copies"])).otherwise(
+            F.get("xs", F.lit(0))["copies"]),
     })
-    at_last = F.count_if(c("filed") == c("__last")).over(cluster)
-    rows = rows.withColumn("__remainder", (c("method") == REMAINDER) & (c("filed") == c("__last")) & (at_last == 1) & (c("__rows") > 1))
-    rows = rows.withColumn("__remainder", F.coalesce("__remainder", F.lit(False)))
-    rows = rows.withColumns({
-        "__any_remainder": F.max("__remainder").over(cluster), "__top": F.max("__auth").over(cluster),
-        "__provider_last": F.max("filed").over(Window.partitionBy(*series, "__cluster", "__auth", "provider")),
+    clusters = clusters.withColumns({
+        "__last": F.when(several_rows, F.filter("xs", lambda x: x["filed"] == c("__filed"))),
+        "__top": F.when(several_rows, F.filter("xs", lambda x: x["auth"] == c("__auth"))),
     })
-    contender = ~c("__any_remainder") & (c("__auth") == c("__top")) & c("filed").eqNullSafe(c("__provider_last"))
-    rows = rows.withColumn("__contender", contender)
-    inside = F.when(c("__contender"), c("value"))
-    rows = rows.withColumns({
-        "__restated": F.max(F.when(c("__contender"), c("restated"))).over(cluster),
-        "__providers": F.size(F.collect_set(F.when(c("__contender"), c("provider"))).over(cluster)),
-        "__hi": F.max(inside).over(cluster), "__lo": F.min(inside).over(cluster),
+    clusters = clusters.withColumns({
+        # the remainder wins only when nothing else in the cluster was filed as late
+        "__remainder": F.filter("__last", lambda x: (x["method"] == REMAINDER) & (F.size("__last") == 1)),
+        "__rivals": F.filter("__top", lambda x: ~F.exists("__top", lambda y: (y["provider"] == x["provider"]) & (y["filed"] > x["filed"]))),
     })
-    differ = ~N.close_enough(c("__hi"), c("__lo"), 0.001)
-    settled = F.coalesce(c("__restated"), F.lit(False)) & (c("__providers") > 1)
-    clash = c("__contender") & F.coalesce(differ, F.lit(False)) & ~settled
-    provider_rank = _lookup(c("provider"), PROVIDER_RANK, 100) + F.when(c("accession").isNotNull(), 20).otherwise(0)
-    order = Window.partitionBy(*series, "__cluster").orderBy(
-        F.desc("__remainder"), F.desc("__contender"), F.desc(F.when(c("__providers") > 1, c("restated").cast("int")).otherwise(0)),
-        F.desc(F.when(c("restated"), c("filed"))), F.desc(provider_rank), F.desc("filed"), F.desc("value"), F.desc("source_id"))
-    rows = rows.withColumns({"__rn": F.row_number().over(order), "__clash": clash})
-    kept = rows.where((c("__rn") == 1) | c("__clash"))
-    conflict = F.when(c("__clash"), "VALUE_CONFLICT").when(c("__split"), "PERIOD_IDENTITY_CONFLICT")
-    key = F.concat_ws(":", "ticker", "op_scope", "period_type", c("__key_start").cast("string"), "__cluster")
-    reason = F.when(c("__remainder") | (settled & (c("__rows") > 1)), "LATEST_AUTHORITATIVE_RESTATEMENT").when(
+    values = F.transform("__rivals", lambda x: x["value"])
+    several = F.size(F.array_distinct(F.transform("__rivals", lambda x: x["provider"]))) > 1
+    clusters = clusters.withColumns({
+        "__settled": F.when(several_rows, several & F.exists("__rivals", lambda x: x["restated"])),
+        "__differ": F.when(several_rows, ~F.coalesce(N.close_enough(F.array_max(values), F.array_min(values), 0.001), F.lit(True))),
+    })
+    order = lambda x: F.struct((c("__settled") & x["restated"]).alias("a"), F.when(x["restated"], x["filed"]).alias("b"), x["rank"].alias("c"),
+                               x["filed"].alias("d"), x["value"].alias("e"), x["source_id"].alias("f"), x.alias("row"))
+    best = F.array(F.array_max(F.transform("__rivals", order))["row"])
+    clash = F.coalesce((F.size("__remainder") == 0) & c("__differ") & ~c("__settled"), F.lit(False))
+    reason = F.when(several_rows & ((F.size("__remainder") > 0) | c("__settled")), "LATEST_AUTHORITATIVE_RESTATEMENT").when(
         c("__copies") > 1, "PREFERRED_SOURCE").otherwise("ONLY_SOURCE")
-    return kept.withColumns({
-        "conflict": F.coalesce("conflict", conflict), "dedup_status": F.coalesce("dedup_status", F.when(conflict.isNotNull(), "REQUIRES_REVIEW")),
-        "economic_period_key": key, "alternatives": (c("__copies") - 1).cast("bigint"), "selection_reason": reason,
-    }).select(*[x for x in columns if x not in ("economic_period_key", "alternatives", "selection_reason")],
-              "economic_period_key", "alternatives", "selection_reason")
+    kept = clusters.select(
+        *series, "__cluster", clash.alias("__clash"), (c("__copies") - 1).alias("alternatives"), reason.alias("selection_reason"),
+        F.array_min(F.transform("xs", lambda x: x["start_date"])).alias("__key_start"),
+        F.explode(F.when(~several_rows, c("xs")).when(F.size("__remainder") > 0, c("__remainder")).when(clash, c("__rivals")).otherwise(best)).alias("r"))
+    conflict = F.when(c("__clash"), "VALUE_CONFLICT").when(c("r.split"), "PERIOD_IDENTITY_CONFLICT")
+    key = F.concat_ws(":", "ticker", "op_scope", "period_type", c("__key_start").cast("string"), "__cluster")
+    fields = {x: c(x) if x in series else c(f"r.{x}") for x in columns}
+    fields["dedup_status"] = F.coalesce("r.dedup_status", F.when(conflict.isNotNull(), "REQUIRES_REVIEW"))
+    fields["conflict"] = F.coalesce("r.conflict", conflict)
+    return kept.select(*[column.alias(x) for x, column in fields.items()], key.alias("economic_period_key"), "alternatives", "selection_reason")
 
 
 def dedupe_provider_quarters(rows: DataFrame) -> DataFrame:
