@@ -161,14 +161,16 @@ def cumulative_to_quarters(facts: DataFrame) -> DataFrame:
     return best.select(*series, "r.start_date", "end_date", "r.value", "r.derivation")
 
 
-def derive_standalone_quarters(obs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def derive_standalone_quarters(obs: DataFrame | None, resolved: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Q2 = 6M - Q1, Q3 = 9M - 6M, Q4 = year - 9M: (observations, failures).
 
+    ``resolved`` takes observations that are deduplicated already, so a pipeline need not do it twice.
+
     Each cohort is one aggregated row of at most a few resolved periods per role; the three steps are unfolded
     from it, and a step that cannot be taken becomes a failure row.
     """
     c = F.col
-    resolved = dedupe_economic_periods(obs)
+    resolved = dedupe_economic_periods(obs) if resolved is None else resolved
     cohort = [*SERIES, "fiscal_year"]
     fields = ["source_id", "value", "start_date", "end_date", "authority", "calendar_id", "filed", "accession", "form", "scope", "restated",
               "dedup_status", "conflict", "provider"]
@@ -224,7 +226,8 @@ def derive_standalone_quarters(obs: DataFrame) -> tuple[DataFrame, DataFrame]:
     failures = taken.where("reason IS NOT NULL").select(*cohort, c("step").alias("method"), c("quarter").alias("fiscal_quarter"), "reason").unionByName(
         grouped.select(*cohort, F.inline(sources)).where("reason IS NOT NULL").select(
             *cohort, F.lit("RESOLVE_CUMULATIVE_SOURCE").alias("method"), F.when(c("role") == "q1", 1).alias("fiscal_quarter"), "reason"))
-    direct = obs.where("period_type = 'STANDALONE_QUARTER'").select(derived.columns)
+    derived = derived.withColumns({"dedup_status": F.lit(None).cast("string"), "conflict": F.lit(None).cast("string")})
+    direct = resolved.where("period_type = 'STANDALONE_QUARTER'").select(derived.columns)
     return dedupe_economic_periods(direct.unionByName(derived)), failures
 
 
