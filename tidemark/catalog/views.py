@@ -244,6 +244,29 @@ class Views:
             "o_orderkey",
         )
 
+    @cache
+    def cells(self) -> DataFrame:
+        """Yearly metric cells, some of them empty with a status and a reason."""
+        c = F.col
+        years = self.cumulative().where("fiscal_quarter = 4").select("ticker", "metric", c("fiscal_year").alias("year"), "value", "region_key")
+
+        def minus(left, right, name):
+            other = years.where(c("metric") == right).select("ticker", "year", c("value").alias("__other"))
+            return years.where(c("metric") == left).join(other, ["ticker", "year"]).select(
+                "ticker", F.lit(name).alias("metric"), "year", (c("value") - c("__other")).alias("value"), "region_key")
+
+        rows = years.unionByName(minus("revenue", "costOfRevenue", "grossProfit")).unionByName(
+            minus("operatingCashFlow", "capitalExpenditures", "freeCashFlow"))
+        status = (
+            F.when((c("metric") == "ebit") & (c("year") == 1997), "REQUIRES_REVIEW")
+            .when((c("metric") == "adjustedEbitda") & (c("year") == 1998), "INSUFFICIENT_PERIOD_COVERAGE")
+            .when(c("region_key").isin(1, 2), "VERIFIED_REPORTED").otherwise("VERIFIED_DERIVED"))
+        marked = rows.withColumn("status", status)
+        return marked.select(
+            "ticker", "metric", "year", F.concat(c("year").cast("string"), F.lit("A")).alias("period"),
+            F.when(c("status").startswith("VERIFIED"), c("value")).alias("value"), "status",
+            F.when(c("status") == "REQUIRES_REVIEW", "VALUE_CONFLICT").when(c("status") == "INSUFFICIENT_PERIOD_COVERAGE", "LTM_PERIOD_GAP").alias("reason"), "region_key")
+
     @cache
     def estimates(self) -> DataFrame:
         back = Window.partitionBy("ticker", "metric").orderBy(F.desc("end_date"))

@@ -110,6 +110,16 @@ SELECT lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS cik, 'C' || lpad(CAST(o_cust
   strftime(o_orderdate, '%y%m%d') AS accession,
  'doc' || CAST(o_orderkey AS VARCHAR) || '.htm' AS primary_document, o_orderkey
 FROM orders""",
+    "v_cells": """
+SELECT ticker, metric, year, CAST(year AS VARCHAR) || 'A' AS period, CASE WHEN status IN ('VERIFIED_REPORTED', 'VERIFIED_DERIVED') THEN value END AS value, status,
+ CASE status WHEN 'REQUIRES_REVIEW' THEN 'VALUE_CONFLICT' WHEN 'INSUFFICIENT_PERIOD_COVERAGE' THEN 'LTM_PERIOD_GAP' END AS reason, region_key
+FROM (SELECT *, CASE WHEN metric = 'ebit' AND year = 1997 THEN 'REQUIRES_REVIEW' WHEN metric = 'adjustedEbitda' AND year = 1998 THEN 'INSUFFICIENT_PERIOD_COVERAGE'
+ WHEN region_key IN (1, 2) THEN 'VERIFIED_REPORTED' ELSE 'VERIFIED_DERIVED' END AS status FROM (
+ SELECT ticker, metric, fiscal_year AS year, value, region_key FROM v_cumulative WHERE fiscal_quarter = 4
+ UNION ALL SELECT a.ticker, 'grossProfit', a.fiscal_year, a.value - b.value, a.region_key FROM v_cumulative a JOIN v_cumulative b ON a.ticker = b.ticker AND a.fiscal_year = b.fiscal_year
+  AND a.metric = 'revenue' AND b.metric = 'costOfRevenue' AND a.fiscal_quarter = 4 AND b.fiscal_quarter = 4
+ UNION ALL SELECT a.ticker, 'freeCashFlow', a.fiscal_year, a.value - b.value, a.region_key FROM v_cumulative a JOIN v_cumulative b ON a.ticker = b.ticker AND a.fiscal_year = b.fiscal_year
+  AND a.metric = 'operatingCashFlow' AND b.metric = 'capitalExpenditures' AND a.fiscal_quarter = 4 AND b.fiscal_quarter = 4))""",
     "v_estimates": """
 SELECT ticker, metric, CASE WHEN rn = 1 THEN '0y' ELSE '+1y' END AS period,
  CAST(end_date + INTERVAL 1 YEAR AS DATE) AS end_date, floor(value * CASE WHEN rn = 1 THEN 1.25 ELSE 1.5 END) AS value
