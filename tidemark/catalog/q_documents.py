@@ -145,7 +145,7 @@ def tagged(v: Views, inline: bool):
 
 
 _TAGGED = f"""
-WITH {PAGE_SQL} SELECT doc_id, 'us-gaap' AS namespace, 'Revenues' AS concept, v1 * 1000.0 * CASE WHEN kind = '2-HIGH' THEN -1 ELSE 1 END AS value, 'USD' AS currency, CAST(date_trunc('quarter', qend) AS DATE) AS start_date, qend AS end_date, kind = '3-MEDIUM' AS segmented FROM page"""
+WITH {PAGE_SQL} SELECT doc_id, 'us-gaap' AS namespace, 'Revenues' AS concept, CAST(v1 * 1000 * CASE WHEN kind = '2-HIGH' THEN -1 ELSE 1 END AS DOUBLE) AS value, 'USD' AS currency, CAST(date_trunc('quarter', qend) AS DATE) AS start_date, qend AS end_date, kind = '3-MEDIUM' AS segmented FROM page"""
 
 
 @query("E07_inline_facts", _TAGGED)

@@ -18,6 +18,7 @@ from tidemark.functions import dates as D
 from tidemark.functions import numbers as N
 from tidemark.functions import strings as S
 from tidemark.operators import facts as FA
+from tidemark.operators.keyed import once
 
 CELL_SCHEMA = "doc_id bigint, table_no int, row int, col int, origin_col int, text string, is_header boolean, is_origin boolean"
 CONTEXT_SCHEMA = "doc_id bigint, table_no int, caption string, context string"
@@ -177,8 +178,7 @@ def with_period(df: DataFrame, labels: Column, fye_month: Column, fye_day: Colum
         .when(c("__cal").isNotNull(), period(F.lit("CALENDAR_YEAR"), first(c("__cal")), last(c("__cal")), "INFERRED", False, c("__cal")))
         .when(c("__ann").isNotNull() & calendar_fye, period(F.lit("CALENDAR_YEAR"), first(c("__ann")), last(c("__ann")), "INFERRED", False, c("__ann")))
         .when(c("__ann").isNotNull() & f_start.isNotNull(), period(F.lit("FISCAL_YEAR"), f_start, f_end, "INFERRED", False, c("__ann"))))
-    scratch = [x for x in rows.columns if x not in df.columns]
-    return rows.withColumn("period", found).drop(*scratch)
+    return once(rows, {"period": found}).select(*df.columns, "period")
 
 
 # Labels of the company metric and wording that marks its tables.
@@ -239,7 +239,9 @@ def recon_facts(cells: DataFrame, contexts: DataFrame, filings: DataFrame) -> tu
     joined = tables.join(texts, TABLE).join(contexts, TABLE, "left").withColumn(
         "around", F.concat_ws(" ", "context", "caption", "table_text"))
     head = F.array_join(F.transform(F.filter("items", lambda x: (x["row"] <= c("row")) & (x["row"] < 6)), lambda x: x["text"]), " ")
-    currency, scale = N.infer_units(F.concat_ws(" ", "context", "caption", head))
+    # inputs that a function reads many times are columns first, or they would be computed at every place
+    joined = joined.withColumn("unit_text", F.concat_ws(" ", "context", "caption", head))
+    currency, scale = N.infer_units(c("unit_text"))
     recon = c("around").rlike("(?i)reconciliation") | (c("net_row") & (c("adjustments") >= 2))
     reason = (
         F.when(c("metric_rows") != 1, "ADJUSTED_EBITDA_ROW_COUNT")
@@ -247,7 +249,7 @@ def recon_facts(cells: DataFrame, contexts: DataFrame, filings: DataFrame) -> tu
         .when(c("around").rlike(SEGMENT_TABLE) & ~c("label").rlike(SEGMENT_TOTAL), "SEGMENT_TABLE_EXCLUDED")
         .when(c("scale").isNull(), "EXPLICIT_UNITS_MISSING"))
     mentioned = (c("metric_rows") > 0) | c("table_text").rlike("(?i)adjusted ebitda")
-    judged = joined.where(mentioned).withColumns({"currency": currency, "scale": scale}).withColumn("reason", reason)
+    judged = once(once(joined.where(mentioned), {"currency": currency, "scale": scale}), {"reason": reason})
     good = judged.where("reason IS NULL").select(*TABLE, "row", "label", "label_col", "currency", "scale", "around", "row_labels")
     numbers = _numbered(cells, good.select(*TABLE, "row", "label", "label_col"))
     placed = numbers.join(good.select(*TABLE, "currency", "scale", "around", "row_labels"), TABLE).join(filings.select("doc_id", "fye_month", "fye_day"), "doc_id")
@@ -273,16 +275,21 @@ def statement_facts(cells: DataFrame, contexts: DataFrame, filings: DataFrame) -
     """Facts of labelled metric rows in financial tables; segment tables and cost allocations are left out."""
     c = F.col
     wording = F.trim(F.regexp_replace("text", r"(?:\s*(?:\(\d+\)|[*†‡]))+\s*$", ""))
-    found = F.array_intersect(FA.metric_candidates(F.lit("company-table"), F.lit(""), wording), F.array(*[F.lit(m) for m in STATEMENT_METRICS]))
-    labelled = cells.where("is_origin AND text <> ''").where(N.parse_cell_number(c("text")).isNull()).withColumn("metrics", found).where(F.size("metrics") > 0)
+    found = F.array_intersect(FA.metric_candidates(F.lit("company-table"), F.lit(""), c("wording")), F.array(*[F.lit(m) for m in STATEMENT_METRICS]))
+    # labels repeat across documents: each distinct wording is classified once
+    labels = cells.where("is_origin AND text <> ''").select(*TABLE, "row", "col", "text", wording.alias("wording")).where(c("text").rlike("[A-Za-z]"))
+    classes = once(labels.select("wording").distinct(), {"metrics": found}).where(F.size("metrics") > 0)
+    labelled = labels.join(classes, "wording")
     rows = labelled.groupBy(*TABLE, "row").agg(F.min(F.struct("col", "text", "metrics")).alias("m")).select(
         *TABLE, "row", c("m.text").alias("label"), c("m.col").alias("label_col"), c("m.metrics").alias("metrics"))
     tables = rows.groupBy(*TABLE).agg(F.array_distinct(F.flatten(F.collect_list("metrics"))).alias("table_metrics"))
     texts = _table_text(cells)
     joined = tables.join(texts, TABLE).join(contexts, TABLE, "left").withColumn("around", F.concat_ws(" ", "context", "caption", "table_text"))
     head = F.array_join(F.transform(F.filter("items", lambda x: x["row"] < 8), lambda x: x["text"]), " ")
-    currency, scale = N.infer_units(F.concat_ws(" ", "context", "caption", head))
-    usable = joined.where(~c("around").rlike(STATEMENT_SEGMENT)).withColumns({"currency": currency, "scale": scale}).where(c("scale").isNotNull())
+    joined = joined.withColumn("unit_text", F.concat_ws(" ", "context", "caption", head))
+    currency, scale = N.infer_units(c("unit_text"))
+    usable = joined.where(~c("around").rlike(STATEMENT_SEGMENT))
+    usable = once(usable, {"currency": currency, "scale": scale}).where(c("scale").isNotNull())
     isolated = c("table_text").rlike(COST_ALLOCATION) & ~F.arrays_overlap("table_metrics", F.array(F.lit("revenue"), F.lit("grossProfit")))
     good = usable.withColumn("isolated", isolated).select(*TABLE, "currency", "scale", "around", "isolated")
     wanted = rows.join(good, TABLE).where(~(c("isolated") & F.array_contains("metrics", "costOfRevenue")))
@@ -329,16 +336,17 @@ def _tagged(documents: DataFrame, pattern: str, name: Column, body: Column, colu
         lambda acc, x: F.when(F.exists(acc, lambda y: y["id"] == x["id"]), acc).otherwise(F.concat(acc, F.array(x)))))
     rows = documents.select("doc_id", first(F.transform(found(context), bounds)).alias("contexts"), first(F.transform(found(unit), measure)).alias("units"),
                             F.explode(found(pattern)).alias("tag"))
-    tagged = rows.withColumns({"qname": name, "context": F.try_element_at("contexts", _attr(F.col("tag"), "contextRef")),
+    tagged = rows.withColumns({"qname": name, "body": S.strip_html(body), "context": F.try_element_at("contexts", _attr(F.col("tag"), "contextRef")),
                                "unit": F.coalesce(F.try_element_at("units", _attr(F.col("tag"), "unitRef")), _attr(F.col("tag"), "unitRef"))})
     namespace = F.when(F.col("qname").contains(":"), F.substring_index("qname", ":", 1)).otherwise("extension")
     concept = F.substring_index("qname", ":", -1)
-    value = N.parse_tagged_number(S.strip_html(body), _attr(F.col("tag"), "scale"), _attr(F.col("tag"), "sign"), _attr(F.col("tag"), "nil"))
+    value = N.parse_tagged_number(F.col("body"), _attr(F.col("tag"), "scale"), _attr(F.col("tag"), "sign"), _attr(F.col("tag"), "nil"))
     out = tagged.withColumns({"namespace": namespace, "concept": concept, "value": value, "start_date": F.col("context.start_date"),
                               "end_date": F.col("context.end_date"), "segment": F.col("context.segment")})
-    metrics = FA.metric_candidates(F.col("namespace"), F.col("concept"), S.humanize_concept(F.col("concept")))
+    out = out.withColumn("label", S.humanize_concept(F.col("concept")))
+    metrics = FA.metric_candidates(F.col("namespace"), F.col("concept"), F.col("label"))
     days = D.inclusive_days(F.col("start_date"), F.col("end_date"))
-    kept = out.withColumn("metrics", metrics).where((F.size("metrics") > 0) & N.finite(F.col("value")) & F.col("unit").rlike("^[A-Z]{3}$") & days.between(45, 400))
+    kept = once(out, {"metrics": metrics}).where((F.size("metrics") > 0) & N.finite(F.col("value")) & F.col("unit").rlike("^[A-Z]{3}$") & days.between(45, 400))
     return kept.select("doc_id", "namespace", "concept", "metrics", "value", F.col("unit").alias("currency"), "start_date", "end_date", "segment")
 
 

@@ -14,7 +14,7 @@ from tidemark.functions import dates as D
 from tidemark.functions import numbers as N
 from tidemark.functions import strings as S
 from tidemark.operators.filings import EXHIBIT_FORMS, DIRECT_FORMS, FINANCIAL_FORMS, SUPPORTED_FORMS, form_supports_period
-from tidemark.operators.keyed import range_match, top_n_per_key
+from tidemark.operators.keyed import once, range_match, top_n_per_key
 
 SERIES = ["ticker", "metric", "scope", "op_scope", "currency", "unit", "definition"]
 
@@ -109,9 +109,9 @@ def explode_company_facts(facts: DataFrame) -> DataFrame:
     """Nested facts (namespace -> concept -> unit -> items) to rows, skipping concepts no metric asks for."""
     spaces = facts.select("ticker", F.explode("facts").alias("namespace", "concepts"))
     concepts = spaces.select("ticker", "namespace", F.explode("concepts").alias("concept", "body"))
-    label = F.coalesce("body.label", "concept")
-    wanted = concepts.withColumn("metrics", metric_candidates(F.col("namespace"), F.col("concept"), label)).where(F.size("metrics") > 0)
-    units = wanted.select("ticker", "namespace", "concept", label.alias("label"), "metrics", F.explode("body.units").alias("currency", "items"))
+    named = concepts.withColumn("label", F.coalesce("body.label", "concept"))
+    wanted = once(named, {"metrics": metric_candidates(F.col("namespace"), F.col("concept"), F.col("label"))}).where(F.size("metrics") > 0)
+    units = wanted.select("ticker", "namespace", "concept", "label", "metrics", F.explode("body.units").alias("currency", "items"))
     return units.where(F.col("currency").rlike("^[A-Z]{3}$")).select(
         "ticker", "namespace", "concept", "label", "metrics", "currency", F.inline("items"))
 

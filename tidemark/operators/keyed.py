@@ -19,6 +19,15 @@ def top_n_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int =
     return ranked.withColumnRenamed("__rank", rank) if rank else ranked.drop("__rank")
 
 
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are computed exactly once per row.
+
+    A filter on a computed column is pushed below its projection and takes the whole expression along, column by
+    column; long chains grow without bound. A generator over one struct stops that.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[column.alias(name) for name, column in columns.items()]))))
+
+
 def prefer(preferred: DataFrame, fallback: DataFrame, keys: list[str]) -> DataFrame:
     """Union in which a key present in the preferred side hides the fallback rows of that key."""
     both = preferred.withColumn("__side", F.lit(0)).unionByName(fallback.withColumn("__side", F.lit(1)))
