@@ -6,6 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+_WORD = "[A-Za-z0-9_]"
+_EDGE = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+
+
+def rx(pattern: str) -> str:
+    """Pattern whose word edges look at ASCII letters only, whatever the Java version does with accents."""
+    return pattern.replace(r"\b", _EDGE)
+
+
 def pad_cik(cik: Column) -> Column:
     digits = F.regexp_replace(F.coalesce(cik.cast("string"), F.lit("")), r"\D", "")
     return F.lpad(digits, 10, "0")
@@ -155,8 +164,8 @@ def number_tokens(text: Column) -> Column:
 
 def accounting_basis(text: Column) -> Column:
     return (
-        F.when(text.rlike(r"(?i)\bnon-gaap\b|\badjusted\b"), "non-GAAP")
-        .when(text.rlike(r"(?i)\bgaap\b"), "GAAP").otherwise("unspecified")
+        F.when(text.rlike(rx(r"(?i)\bnon-gaap\b|\badjusted\b")), "non-GAAP")
+        .when(text.rlike(rx(r"(?i)\bgaap\b")), "GAAP").otherwise("unspecified")
     )
 
 

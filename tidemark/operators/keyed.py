@@ -92,3 +92,18 @@ def as_of(
         .select(F.col(key), F.col("__day").alias(target), "__point.*")
     )
     return targets.join(found, [key, target], "left")
+
+
+def running_sum(df: DataFrame, keys: list[str], order: str, value: Column, name: str, width: int = 10_000) -> DataFrame:
+    """Running sum per key in the order of an integer column.
+
+    Positions are cut into ranges of ``width``; the ranges of a key are summed apart and their totals carried over,
+    so a key that holds a large part of the table is still spread over many tasks.
+    """
+    rows = df.withColumns({"__v": value.cast("bigint"), "__range": F.floor(F.col(order) / width)})
+    totals = rows.groupBy(*keys, "__range").agg(F.sum("__v").alias("__total"))
+    before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(*keys, "__range", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__carried"))
+    inside = Window.partitionBy(*keys, "__range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = rows.withColumn("__inside", F.sum("__v").over(inside)).join(carried, [*keys, "__range"])
+    return summed.withColumn(name, F.col("__inside") + F.col("__carried")).drop("__v", "__range", "__inside", "__carried")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import dates as D
 from tidemark.functions import numbers as N
 from tidemark.operators.facts import SERIES
+from tidemark.operators.keyed import once
 
 REMAINDER = "FISCAL_YEAR_MINUS_YTD_9M"
 # Trust in period dates, best first, and in providers.
@@ -215,7 +216,7 @@ def derive_standalone_quarters(obs: DataFrame | None, resolved: DataFrame | None
     reason = (
         F.when(~both, c("blocked")).when(~cohort_ok, "INCOMPATIBLE_FISCAL_COHORT").when(length <= 0, "INVALID_DERIVED_PERIOD_ORDER")
         .when(~length.between(45, 130), "INVALID_DERIVED_QUARTER_DURATION"))
-    taken = taken.withColumn("reason", reason)
+    taken = once(taken, {"reason": reason})
     derived = taken.where(both & c("reason").isNull()).select(
         F.concat_ws("|", cur["source_id"], F.lit("MINUS"), pri["source_id"]).alias("source_id"), "ticker", "metric",
         F.lit("STANDALONE_QUARTER").alias("period_type"), F.date_add(pri["end_date"], 1).alias("start_date"), cur["end_date"].alias("end_date"),
