@@ -80,14 +80,14 @@ def x25(v: Views):
 
 def results(v: Views):
     """One payload of results per page: the page itself, then the same address with a slash."""
-    base = v.table("pages").withColumn("u", F.regexp_extract("url", r"^[^?#]*", 0))
-    title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
+    base = v.table("pages").withColumn("u", F.regexp_replace(F.regexp_extract("url", r"^[^?#]*", 0), "/$", ""))
+    title = F.concat(F.lit("Page "), "u")
     item = lambda url, score: F.struct(title.alias("title"), url.alias("url"), F.lit("earnings snippet").alias("content"), score.cast("double").alias("score"), F.lit("2024-01-15").alias("publishedDate"))
     return base.select(F.lit("q").alias("query"), F.array(item(c("u"), F.lit(None)), item(F.concat("u", F.lit("/")), F.lit(3.5))).alias("results"))
 
 
 _RES = r"""
-pg AS (SELECT page_id, html, regexp_extract(url, '^[^?#]*', 0) AS u, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM pages),
+pg AS (SELECT page_id, html, u, 'Page ' || u AS title FROM (SELECT *, regexp_replace(regexp_extract(url, '^[^?#]*', 0), '/$', '') AS u FROM pages)),
 res AS (SELECT p AS pos, title, CASE p WHEN 0 THEN u ELSE u || '/' END AS url, 'earnings snippet' AS snippet, regexp_replace(lower(regexp_extract(u, '^[a-zA-Z]+://([^/?#:]+)', 1)), '^www\.', '') AS host, CASE p WHEN 0 THEN 10.0 ELSE 3.5 END AS score, DATE '2024-01-15' AS published
  FROM pg, (VALUES (0), (1)) t(p))"""
 
@@ -172,8 +172,10 @@ def x29(v: Views):
 
 
 @query("V15_web_context", f"""
-WITH {_RES}, {_XS}, best AS (SELECT url, quality, total FROM xs WHERE pos = 1 ORDER BY {_QR}, total DESC, url LIMIT 15), txt AS (SELECT u || '/' AS url, lower({READABLE_SQL}) AS t FROM pg)
+WITH {_RES}, {_XS}, best AS (SELECT url, quality, total FROM (SELECT DISTINCT url, quality, total FROM xs WHERE pos = 1) ORDER BY {_QR}, total DESC, url LIMIT 15), txt AS (SELECT u || '/' AS url, lower(max({READABLE_SQL})) AS t FROM pg GROUP BY u)
 SELECT b.url, quality, total AS score, CAST({" + ".join(f"CAST(contains(t, '{w}') AS INTEGER)" for w in _W)} AS INTEGER) AS page_hits FROM best b LEFT JOIN txt USING (url)""")
 def v15(v: Views):
-    pages = X.readable_text(v.table("pages").select(F.concat(F.regexp_extract("url", r"^[^?#]*", 0), F.lit("/")).alias("url"), "html"))
+    address = F.concat(F.regexp_replace(F.regexp_extract("url", r"^[^?#]*", 0), "/$", ""), F.lit("/"))
+    texts = X.readable_text(v.table("pages").select(address.alias("url"), "html"))
+    pages = texts.groupBy("url").agg(F.max("text").alias("text"))
     return R.web_context(search_results(results(v)), pages, Q1, REPUTABLE, F.to_date(F.lit(AS_OF))).select("url", "quality", "score", "page_hits")
