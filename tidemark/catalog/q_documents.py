@@ -23,7 +23,7 @@ page AS (SELECT o_orderkey AS doc_id, o_orderpriority AS kind, CAST(last_day(dat
 def page_fields(v: Views):
     day = F.to_date("o_orderdate")
     end = F.last_day(F.add_months(F.trunc(day, "quarter"), 242))
-    return v.table("orders").select(c("o_orderkey").alias("doc_id"), c("o_orderpriority").alias("kind"), end.alias("qend"), (c("o_custkey") + 1000).alias("v1"),
+    return v.spread(v.table("orders")).select(c("o_orderkey").alias("doc_id"), c("o_orderpriority").alias("kind"), end.alias("qend"), (c("o_custkey") + 1000).alias("v1"),
                                     (c("o_custkey") + 7).alias("v2"), c("o_custkey").alias("k"))
 
 

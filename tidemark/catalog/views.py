@@ -25,7 +25,13 @@ class Views:
 
     @cache
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return self.spread(df) if name in ("documents", "pages", "conversations") else df
+
+    def spread(self, df: DataFrame) -> DataFrame:
+        """Rows over all cores when the input is one small unsplittable file; a table of many files stays as it is."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 8) else df
 
     @staticmethod
     def _key(col: str, prefix: str = "S"):

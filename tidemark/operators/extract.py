@@ -7,10 +7,12 @@ Contexts, units and tagged numbers of a document are matched inside its row, wit
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,9 @@ from tidemark.functions import strings as S
 from tidemark.operators import facts as FA
 from tidemark.operators.keyed import once
 
+# the parser travels inside the task, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 CELL_SCHEMA = "doc_id bigint, table_no int, row int, col int, origin_col int, text string, is_header boolean, is_origin boolean"
 CONTEXT_SCHEMA = "doc_id bigint, table_no int, caption string, context string"
 CONTEXT_CHARS = 2000

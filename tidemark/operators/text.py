@@ -256,16 +256,19 @@ def evidence_terms(text: Column) -> Column:
     return F.array_except(F.filter(words, lambda w: F.length(w) >= 4), F.array(*[F.lit(w) for w in EVIDENCE_STOPS]))
 
 
-def claim_support(claim: Column, cited: Column) -> Column:
-    """No number beyond the cited ones, enough shared terms, and the accounting label kept."""
-    terms = evidence_terms(claim)
-    shared = F.size(F.array_intersect(terms, evidence_terms(cited)))
-    numbers = F.size(F.array_except(S.number_tokens(claim), S.number_tokens(cited))) == 0
-    enough = (F.size(terms) == 0) | (shared >= F.least(F.lit(2), F.size(terms)))
-    labelled = claim.rlike(S.rx(r"(?i)\bEPS|earnings per share|gross margin|operating margin|operating income|EBITDA|EBIT|net income\b"))
-    basis = S.accounting_basis(cited)
-    missing = labelled & F.when(basis == "non-GAAP", ~claim.rlike(S.rx(r"(?i)\bnon-gaap\b|\badjusted\b"))).when(basis == "GAAP", ~claim.rlike(S.rx(r"(?i)\bgaap\b"))).otherwise(F.lit(False))
-    return numbers & enough & ~missing
+def with_support(df: DataFrame) -> DataFrame:
+    """Add ``supported``: no number in ``text`` beyond those ``cited``, enough shared terms, the accounting label kept."""
+    c = F.col
+    rows = once(df, {
+        "__terms": evidence_terms(c("text")), "__cited_terms": evidence_terms(c("cited")), "__numbers": S.number_tokens(c("text")),
+        "__cited_numbers": S.number_tokens(c("cited")), "__basis": S.accounting_basis(c("cited"))})
+    n = F.size("__terms")
+    numbers = F.size(F.array_except("__numbers", "__cited_numbers")) == 0
+    enough = (n == 0) | (F.size(F.array_intersect("__terms", "__cited_terms")) >= F.least(F.lit(2), n))
+    labelled = c("text").rlike(S.rx(r"(?i)\bEPS|earnings per share|gross margin|operating margin|operating income|EBITDA|EBIT|net income\b"))
+    missing = labelled & F.when(c("__basis") == "non-GAAP", ~c("text").rlike(S.rx(r"(?i)\bnon-gaap\b|\badjusted\b"))).when(
+        c("__basis") == "GAAP", ~c("text").rlike(S.rx(r"(?i)\bgaap\b"))).otherwise(F.lit(False))
+    return once(rows, {"supported": numbers & enough & ~missing}).select(*df.columns, "supported")
 
 
 def signature(text: Column, words: int = 14) -> Column:
@@ -297,7 +300,7 @@ def not_covered_guidance(generated: DataFrame, fallback: DataFrame, key: str) ->
 
 def validated_groups(draft: DataFrame, fallback: DataFrame, key: str) -> DataFrame:
     """Supported draft items per group, else the fallback items of the group. ``draft`` has cited text per item."""
-    good = dedupe_items(draft.where(claim_support(F.col("text"), F.col("cited"))).withColumn("__g", F.concat_ws("|", key, "group")), "__g").drop("__g", "cited")
+    good = dedupe_items(with_support(draft).where("supported").drop("supported").withColumn("__g", F.concat_ws("|", key, "group")), "__g").drop("__g", "cited")
     rest = fallback.join(good.select(key, "group").distinct(), [key, "group"], "left_anti")
     return good.withColumn("origin", F.lit("DRAFT")).unionByName(rest.withColumn("origin", F.lit("FALLBACK")))
 
@@ -393,7 +396,7 @@ def context_file_check(sections: DataFrame, required: list[str], placeholder: st
 def commentary_audit(items: DataFrame, key: str) -> DataFrame:
     """Checks of a commentary: number support, duplicates, empty groups. Columns: group, text, cited."""
     c = F.col
-    marked = once(items, {"supported": claim_support(c("text"), c("cited")), "sig": signature(c("text"))})
+    marked = once(with_support(items), {"sig": signature(c("text"))})
     per_sig = marked.groupBy(key, "group", "sig").agg(F.count("*").alias("n"), F.bool_and("supported").alias("supported"))
     return per_sig.groupBy(key).agg(F.bool_and("supported").alias("numbers_supported"), F.bool_and(c("n") == 1).alias("no_duplicates"),
                                     F.count_distinct("group").alias("groups"), F.sum("n").alias("items"))
