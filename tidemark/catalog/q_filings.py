@@ -22,10 +22,10 @@ def cat_sql(form: str) -> str:
  WHEN {form} IN ('8-K','8-K/A') THEN '8-K' WHEN {form} = 'DEF 14A' THEN 'DEF 14A' ELSE 'Other' END"""
 
 
-def submissions(v: Views, month_column: str = "filing_date"):
-    """Column-shaped inventories, one row per issuer and year of filing (an archive page)."""
+def submissions(v: Views):
+    """Column-shaped inventories: archive pages of one issuer and year, cut by order range so that none grows large."""
     row = F.struct("accession", "form", "filing_date", "report_date", "primary_document")
-    packed = v.filings().groupBy("cik", F.year("filing_date").alias("page")).agg(F.sort_array(F.collect_list(row)).alias("r"))
+    packed = v.filings().groupBy("cik", F.year("filing_date").alias("page"), F.floor(c("o_orderkey") / 100_000)).agg(F.sort_array(F.collect_list(row)).alias("r"))
     names = ["accession", "form", "filing_date", "report_date", "primary_document"]
     return packed.select("cik", "page", F.struct(*[c(f"r.{n}").alias(n) for n in names]).alias("recent"))
 
@@ -244,7 +244,7 @@ def j12(v: Views):
 
 
 @query("Q25_inventory_complete", """
-SELECT cik, CAST(year(filing_date) AS INTEGER) AS page, bool_and(form <> '10-Q') AS recent_present, bool_and(form <> '10-Q') AND count(*) < 3 AS complete FROM v_filings GROUP BY 1, 2""")
+SELECT cik, CAST(year(filing_date) AS INTEGER) AS page, bool_and(form <> '10-Q') AS recent_present, bool_and(form <> '10-Q') AND count(*) < 3 AS complete FROM v_filings GROUP BY 1, 2, floor(o_orderkey / 100000)""")
 def q25(v: Views):
     # a page whose quarterly filings lack a report date is not complete
     pages = submissions(v)

@@ -329,9 +329,8 @@ def s23(v: Views):
 @query("S20_read_transcript_cards")
 def s20(v: Views):
     link = F.concat(F.lit('<a class="x" href="/transcripts/'), c("card_id"), F.lit('/"><b>Earnings Call: '), c("label"), F.lit("</b></a>"))
-    # one list page per ticker and year
-    pages = cards(v).groupBy("ticker", F.year("day").alias("y")).agg(F.array_join(F.collect_list(F.concat(link, link)), "\n").alias("html"))
-    return T.transcript_cards(pages, "https://calls.example.org")
+    # every page lists its call twice
+    return T.transcript_cards(cards(v).select("ticker", F.concat(link, link).alias("html")), "https://calls.example.org")
 
 
 REQUIRED = ["Overview", "Risks", "Peers"]

@@ -144,7 +144,7 @@ def company_fact_candidates(facts: DataFrame, fye_month: DataFrame, metrics: lis
     rows = read_company_facts(facts).where(F.col("segment").isNull() & F.col("form").isin(SUPPORTED_FORMS))
     filed = F.col("filed").try_cast("date")
     known = rows.withColumn("filed", filed).where(available_as_of(F.col("filed"), F.col("end_date"), as_of))
-    typed = known.withColumn("period_type", D.classify_period(F.col("start_date"), F.col("end_date")))
+    typed = once(known, {"period_type": D.classify_period(F.col("start_date"), F.col("end_date"))})
     fits = typed.where((F.col("period_type") != "UNKNOWN") & form_supports_period(F.col("form"), F.col("period_type")))
     wanted = F.array_intersect("metrics", F.array(*[F.lit(m) for m in metrics]))
     spread = fits.withColumn("metric", F.explode(wanted)).join(fye_month, "ticker", "left")
@@ -167,8 +167,9 @@ def supplemental_candidates(records: DataFrame, metrics: list[str], as_of: str |
     start = F.when(~((F.col("authority") == "INFERRED") & end_only), F.col("start_date"))
     bounded = kept.withColumn("start_date", start).withColumn(
         "authority", F.when(F.col("start_date").isNotNull(), F.coalesce("authority", F.lit("REPORTED"))).otherwise("UNKNOWN"))
-    typed = bounded.withColumn("period_type", D.classify_period(
-        F.col("start_date"), F.col("end_date"), F.col("period_type"), F.col("authority")))
+    stated = bounded.withColumnRenamed("period_type", "__stated")
+    typed = once(stated, {"period_type": D.classify_period(
+        F.col("start_date"), F.col("end_date"), F.col("__stated"), F.col("authority"))}).drop("__stated")
     fits = typed.where((F.col("period_type") != "UNKNOWN") & form_supports_period(F.upper("form"), F.col("period_type")))
     return fits.where(F.col("metric").isin(metrics)).withColumn(
         "value", F.when(F.col("metric") == "capitalExpenditures", F.abs("value")).otherwise(F.col("value")))
