@@ -191,9 +191,10 @@ def p20(v: Views):
     return v.all_obs().select("source_id", A.source_shape(c("form"), c("basis") == "DERIVED").alias("source_type"))
 
 
-@query("P21_lineage")
+@query("P21_lineage", """
+SELECT metric, provider, source_id, accession, filed, value, currency, unit, scope, op_scope, period_type, start_date, end_date, basis, definition FROM v_all_obs""")
 def p21(v: Views):
-    return v.all_obs().select("source_id", A.lineage())
+    return v.all_obs().select(A.lineage()).select("lineage.*")
 
 
 @query("P25_component_struct", """

@@ -217,7 +217,9 @@ def q09(v: Views):
     return Q.promote_snapshot(with_end(run_a(v)), with_end(run_b(v))).select("ticker", "metric", "period", "value", "status", "decision", "degraded")
 
 
-@query("Q10_migrate_snapshot")
+@query("Q10_migrate_snapshot", """
+SELECT ticker, sum(value) AS value, 'SUM_OF_FOUR_QUARTERS' AS derivation, min(start_date) AS ltm_start, max(end_date) AS ltm_end, 'v2' AS version, TRUE AS migrated
+FROM v_quarters WHERE metric = 'adjustedEbitda' AND year(start_date) = 2000 GROUP BY ticker""")
 def q10(v: Views):
     from tidemark.operators.company_metric import migrate_ltm
 

@@ -326,7 +326,8 @@ def s23(v: Views):
     return T.read_transcripts(rows, 2).select("ticker", "card_id", F.length("text").cast("bigint").alias("n_chars"))
 
 
-@query("S20_read_transcript_cards")
+@query("S20_read_transcript_cards", """
+SELECT ticker, 0 AS pos, 'https://calls.example.org/transcripts/' || accession || '/' AS url, 'Earnings Call: Q' || quarter(filing_date) || ' ' || year(filing_date) AS title, 'Q' || quarter(filing_date) || ' ' || year(filing_date) AS quarter FROM v_filings""")
 def s20(v: Views):
     link = F.concat(F.lit('<a class="x" href="/transcripts/'), c("card_id"), F.lit('/"><b>Earnings Call: '), c("label"), F.lit("</b></a>"))
     # every page lists its call twice

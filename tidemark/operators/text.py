@@ -97,6 +97,7 @@ def card_blocks(pages: DataFrame) -> DataFrame:
                        grab(r'(?is)<div class="text-sm italic text-muted">(.*?)</div>').alias("role"), body.alias("text")).where("speaker <> '' AND text <> ''")
 
 
+# Wording that opens the questions and closes the call.
 QNA_START = r"(?i)q&a|question-and-answer|questions and answers|open the call|first question|next question|begin the question"
 CLOSING = r"(?i)\b(?:thank you,\s*operator|thanks everybody for joining|that concludes today's call)\b.*"
 
@@ -411,6 +412,7 @@ def answer_quality(texts: DataFrame, banned: list[tuple[str, str]], required: li
     return texts.withColumns({"words": words, "failures": F.array_compact(F.array(*rules))})
 
 
+# Wording removed from or replaced in an answer.
 CLEANING = [
     (r"(?i)\baccording to\s+(?:the\s+)?(?:retrieved\s+)?context\s*", ""), (r"(?i)\bPrivate research material\b\s*:?\s*", ""),
     (r"(?i)\bResearch section\b\s*:?\s*", ""), (r"(?i)\s*,?\s+as mentioned in (?:the )?research material", ""),
