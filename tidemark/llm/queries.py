@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, sharding
+from tidemark.llm import exact_dedup, line_dedup, packing, quality_rules, sharding
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,3 +23,28 @@ SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITIO
   row_number() OVER best = 1 AS kept, sha256(body) AS text_sha256
 FROM d WINDOW best AS (PARTITION BY body ORDER BY points DESC, doc_id NULLS LAST)
 """
+
+QUERIES["op3_mcd_quality"] = lambda spark, sf_dir: quality_rules.statistics_and_verdicts(table(spark, sf_dir, "documents"))
+
+QUERIES["op6_length_buckets"] = lambda spark, sf_dir: packing.packed_documents(table(spark, sf_dir, "documents"))
+
+QUERIES["op7_line_windows"] = lambda spark, sf_dir: line_dedup.without_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+ORACLES["op7_line_windows"] = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL
+), f AS (
+  SELECT doc_id, i, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line FROM l
+), w AS (
+  SELECT doc_id, i AS a, lead(i, 2) OVER p AS b, line || chr(10) || lead(line, 1) OVER p || chr(10) || lead(line, 2) OVER p AS body
+  FROM f WHERE line <> '' WINDOW p AS (PARTITION BY doc_id ORDER BY i)
+), later AS (
+  SELECT doc_id, a, b FROM (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, a) AS k FROM w WHERE b IS NOT NULL) WHERE k > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS i FROM later
+), done AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(gone.i) AS n_removed, string_agg(line, chr(10) ORDER BY l.i) FILTER (WHERE gone.i IS NULL) AS text
+  FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.i = gone.i GROUP BY l.doc_id
+)
+SELECT d.doc_id, coalesce(n_lines, 0)::INTEGER AS n_lines, coalesce(n_removed, 0)::INTEGER AS n_removed, CASE WHEN d.text IS NOT NULL THEN coalesce(done.text, '') END AS text
+FROM documents d LEFT JOIN done ON d.doc_id = done.doc_id
+"""
