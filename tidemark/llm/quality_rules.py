@@ -194,7 +194,7 @@ def rejected_as_outlier(rows: DataFrame, estimate: DataFrame, part: float, tail:
     return measured.withColumn("outlier", F.coalesce(F.col("d2") > chi_square_limit(tail), F.lit(False)))
 
 
-def judged(docs: DataFrame, part: float = 0.75, steps: int = 4, tail: float = 1e-5, least_rows: int = 50, keep_text: bool = False) -> DataFrame:
+def judged(docs: DataFrame, part: float = 0.75, steps: int = 4, tail: float = 1e-4, least_rows: int = 50, keep_text: bool = False) -> DataFrame:
     """doc_id, lang, source (or all columns of ``docs`` where ``keep_text``), statistics, base_failed, d2, outlier, kept.
 
     Null text is empty and fails the base limits. Null lang or source is a value like any other. A group of fewer than

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, line_dedup, packing, quality_rules, sharding
+from tidemark.llm import exact_dedup, line_dedup, packing, quality_classifier, quality_rules, sharding
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,5 @@ WITH l AS (
 SELECT d.doc_id, coalesce(n_lines, 0)::INTEGER AS n_lines, coalesce(n_removed, 0)::INTEGER AS n_removed, CASE WHEN d.text IS NOT NULL THEN coalesce(done.text, '') END AS text
 FROM documents d LEFT JOIN done ON d.doc_id = done.doc_id
 """
+
+QUERIES["op8_compression_classifier"] = lambda spark, sf_dir: quality_classifier.scored_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
