@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, line_dedup, packing, quality_classifier, quality_rules, sharding
+from tidemark.llm import capture_index, exact_dedup, line_dedup, packing, quality_classifier, quality_rules, sharding
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,15 @@ FROM documents d LEFT JOIN done ON d.doc_id = done.doc_id
 """
 
 QUERIES["op8_compression_classifier"] = lambda spark, sf_dir: quality_classifier.scored_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+QUERIES["op5_capture_index"] = lambda spark, sf_dir: capture_index.archived_pages(table(spark, sf_dir, "pages"))
+ORACLES["op5_capture_index"] = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+m AS (SELECT page_id, octet_length(body) AS payload_bytes, upper(sha1(body)) AS digest, max(page_id) OVER (PARTITION BY body) AS best FROM p),
+b AS (
+  SELECT *, array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (((('0x' || substr(digest, ((k // 4) * 5 + 1)::INTEGER, 5))::BIGINT >> (15 - 5 * (k % 4))::BIGINT) & 31) + 1)::INTEGER, 1)), '') AS base32 FROM m
+)
+SELECT page_id, payload_bytes, base32 AS payload_digest, CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> best THEN best END AS refers_to FROM b
+"""
