@@ -10,13 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import scratch, squeezed, text_of
+from tidemark.llm.common import scratch, squeezed, staged, text_of
 
 #: State on disk, with a bound on the memory that all stores of an executor share.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
@@ -77,7 +78,8 @@ def deduplicate(spark: SparkSession, path: str, digest=sha256, bytes_per_batch:
     state = _final_state(spark, path, schema, digest, bytes_per_batch)
 
     hits = rows.groupBy("digest").agg(F.min("body").alias("low"), F.max("body").alias("high"), F.count(F.lit(1)).alias("seen"))
-    mixed = hits.where((F.col("seen") > 1) & (F.col("low") != F.col("high"))).select(F.col("digest").alias("mixed_digest"))
+    # written, so that Spark knows how few they are (none, but for a weak digest) before it plans the joins with texts
+    mixed = staged(hits.where((F.col("seen") > 1) & (F.col("low") != F.col("high"))).select(F.col("digest").alias("mixed_digest")), "dedup-mixed")
     settled = state.join(mixed, F.col("digest") == F.col("mixed_digest"), "left_anti")
 
     alike = rows.drop("body").join(settled.withColumnRenamed("digest", "of"), F.col("digest") == F.col("of"))
