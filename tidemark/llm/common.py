@@ -78,3 +78,27 @@ def numbered(df: DataFrame, keys: list[str], by: str, ties: list[Column], out: s
     for more in same[1:]:
         condition = condition & more
     return ranked.alias("r").join(starts.alias("s"), condition).select(*[F.col(f"r.`{c}`") for c in df.columns], (F.col("__start") + F.col("__rank")).cast("long").alias(out))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node of the undirected edges (u, v), where root is the smallest node of its component.
+
+    Rounds of large and small stars: every node hands its larger, then its smaller neighbours to the smallest node it
+    knows, until only stars are left. A round is a few joins and combined minima over the edges and is written to the
+    shared folder; rounds grow with the logarithm of the nodes.
+    """
+    smaller = F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")
+    edges = staged(edges.where("u != v").select(*smaller).distinct().select("u", "v"), "components")
+    while True:
+        ways = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        known = ways.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
+        large = ways.join(known, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
+        small = large.join(least, F.col("u") == F.col("w")).select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        fresh = staged(small.select("e.u", "e.v").where("u != v").distinct(), "components")
+        moved = fresh.join(edges, ["u", "v"], "left_anti").limit(1).count()
+        edges = fresh
+        if not moved:
+            break
+    roots = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
