@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import capture_index, exact_dedup, line_dedup, ngram_join, packing, quality_classifier, quality_rules, sharding
+from tidemark.llm import capture_index, exact_dedup, line_dedup, ngram_join, packing, quality_classifier, quality_rules, sentencepieces, sharding
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,7 +66,8 @@ SELECT page_id, payload_bytes, base32 AS payload_digest, CASE WHEN page_id = bes
 QUERIES["op9_prefix_tree_join"] = lambda spark, sf_dir: ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 ORACLES["op9_prefix_tree_join"] = r"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda w: w <> '') AS w FROM documents
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda w: w <> '') AS w FROM documents
 ), s AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
     ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS shingles FROM d
@@ -76,3 +77,7 @@ e AS (SELECT a, b FROM o WHERE 100 * shared >= 80 * (na + nb - shared)),
 r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
 SELECT s.doc_id, len(shingles)::BIGINT AS n_shingles, m.b AS component_id FROM s JOIN (SELECT a, min(b) AS b FROM r GROUP BY a) m ON m.a = s.doc_id
 """
+
+#: Vocabulary file of op10; any SentencePiece BPE model with byte fallback will do.
+PIECES_FILE = "/opt/tokenizers/piece_bpe_32k.model"
+QUERIES["op10_sentencepiece"] = lambda spark, sf_dir: sentencepieces.encoded_documents(table(spark, sf_dir, "documents"), PIECES_FILE)
