@@ -28,6 +28,8 @@ LEAST_SPREAD = (0.15, 0.35, 0.12, 0.06)
 COORDINATES = len(LEAST_SPREAD)
 #: Distance bins per factor e.
 BINS = 32
+#: A group's rows meet its estimate in so many tasks, and only sums per bin leave them.
+SALTS = 32
 
 
 def _paired(column: str, gap: int) -> Column:
@@ -164,7 +166,8 @@ def _moments(sums: DataFrame) -> DataFrame:
 
 def _concentrate(good: DataFrame, estimate: DataFrame, part: float) -> DataFrame:
     """One concentration step for every group and start."""
-    measured = _distance(good.join(estimate, KEYS))
+    salted = estimate.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    measured = _distance(good.join(salted, [*KEYS, "salt"]))
     bins = measured.withColumn("__bin", F.floor(F.log(F.greatest(F.col("d2"), F.lit(1e-6))) * BINS)).groupBy(*KEYS, "start", "__bin").agg(*_sums())
     upto = Window.partitionBy(*KEYS, "start").orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*KEYS, "start")
@@ -178,7 +181,8 @@ def _concentrate(good: DataFrame, estimate: DataFrame, part: float) -> DataFrame
 
 def estimates(rows: DataFrame, part: float = 0.75, steps: int = 4) -> DataFrame:
     """Centre m_i and factor l_ij per group, of the start with the least determinant, for good rows with vectors."""
-    good = rows.where(~F.col("base_failed")).select(*KEYS, *[f"x{i}" for i in range(1, COORDINATES + 1)])
+    salt = F.pmod(F.xxhash64("doc_id", "word_chars", "n_words"), F.lit(SALTS)).alias("salt")
+    good = rows.where(~F.col("base_failed")).select(*KEYS, salt, *[f"x{i}" for i in range(1, COORDINATES + 1)])
     current = _start(good)
     for _ in range(steps):
         current = _concentrate(good, current, part)
