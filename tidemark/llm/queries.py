@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import capture_index, exact_dedup, line_dedup, ngram_join, packing, quality_classifier, quality_rules, sentencepieces, sharding
+from tidemark.llm import capture_index, exact_dedup, license_scan, line_dedup, ngram_join, packing, quality_classifier, quality_rules, sentencepieces, sharding
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,25 @@ SELECT s.doc_id, len(shingles)::BIGINT AS n_shingles, m.b AS component_id FROM s
 #: Vocabulary file of op10; any SentencePiece BPE model with byte fallback will do.
 PIECES_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 QUERIES["op10_sentencepiece"] = lambda spark, sf_dir: sentencepieces.encoded_documents(table(spark, sf_dir, "documents"), PIECES_FILE)
+
+QUERIES["op4_license_scan"] = lambda spark, sf_dir: license_scan.licensed_documents(table(spark, sf_dir, "documents"))
+
+
+def _license_sql() -> str:
+    values = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in pair)) for pair in license_scan.TEMPLATES.items())
+    split = r"""list_filter(regexp_split_to_array(translate(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '.,;:!?()[]"''', ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"""
+    return f"""
+WITH t AS (SELECT license, {split} AS w FROM (VALUES {values}) v(license, text)),
+tn AS (SELECT license, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS shingle FROM t),
+ts AS (SELECT *, count(*) OVER (PARTITION BY license) AS n FROM tn),
+d AS (SELECT doc_id, {split} AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d),
+m AS (SELECT doc_id, license, n, greatest(1, n // 4) AS stride, i - 1 AS i, shingle FROM (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS shingle FROM p) JOIN ts USING (shingle)),
+s AS (SELECT doc_id, license, n, shingle, unnest(range(((greatest(0, i - (n + stride - 2)) + stride - 1) // stride) * stride, i + 1, stride)) AS start FROM m),
+x AS (SELECT doc_id, license, n, start, count(DISTINCT shingle) AS matched FROM s GROUP BY ALL)
+SELECT doc_id, license, count(*) AS windows, min(start)::INTEGER AS first_word, max(matched)::INTEGER AS matched, max(matched / n) AS containment
+FROM x WHERE 100 * matched >= 80 * n GROUP BY doc_id, license
+"""
+
+
+ORACLES["op4_license_scan"] = _license_sql()
