@@ -63,32 +63,32 @@ def test_chunk_text_packs_greedily(spark):
     assert df.select(T.chunk_text(F.col("text"), 100).alias("c")).first().c == pack(sentences, 100)
 
 
-def test_definition_classes_equal_brute_force(spark):
+def test_definitions_compatible_in_every_pair(spark):
     rng = random.Random(4)
     base = [f"term {c * 3}" for c in "abcdefgh"]
-    sets = {}
-    for i in range(30):
-        words = list(base)
-        for _ in range(rng.randrange(4)):
-            words[rng.randrange(8)] = f"term {rng.choice('uvwxyz') * 4}"
-        sets[f"f{i}"] = sorted(set(words))
+    rows, groups = [], {}
+    for g in range(60):
+        groups[g] = []
+        for i in range(rng.randrange(1, 5)):
+            words = list(base)
+            for _ in range(rng.randrange(3)):
+                words[rng.randrange(8)] = f"term {rng.choice('uv') * 4}"
+            groups[g].append(sorted(set(words)))
+            rows.append((g, "|".join(groups[g][-1]), groups[g][-1]))
+    a, b, c = base, [*base[:7], "x one"], [*base[:6], "x one", "x two"]
+    groups[99] = [a, b, c]
+    rows += [(99, str(i), t) for i, t in enumerate(groups[99])]
 
     def fits(a, b):
         a, b = set(a), set(b)
         s = len(a & b)
-        return len(a) >= 5 and len(b) >= 5 and s >= 2 and s / min(len(a), len(b)) >= 0.85 and s / max(len(a), len(b)) >= 0.75 and s / len(a | b) >= 0.75
-
-    group = {f: f for f in sets}
-    changed = True
-    while changed:
-        changed = False
-        for a in sets:
-            for b in sets:
-                if fits(sets[a], sets[b]) and group[b] < group[a]:
-                    group[a], changed = group[b], True
-    df = spark.createDataFrame([("T", f, t) for f, t in sets.items()], "ticker string, fingerprint string, terms array<string>")
-    got = {r.fingerprint: r.klass for r in CM.definition_classes(df).collect()}
-    assert got == group
+        return a == b or len(a) >= 5 and len(b) >= 5 and s >= 2 and s / min(len(a), len(b)) >= 0.85 and s / max(len(a), len(b)) >= 0.75 and s / len(a | b) >= 0.75
+
+    assert fits(a, b) and fits(b, c) and not fits(a, c)
+    df = spark.createDataFrame(rows, "g int, fingerprint string, terms array<string>")
+    got = {r.g: r.compatible for r in CM.definitions_compatible(df, ["g"]).collect()}
+    assert got == {g: all(fits(x, y) for x in sets for y in sets) for g, sets in groups.items()}
+    assert got[99] is False and True in got.values()
 
 
 def test_exchanges_borrow_answers(spark):

@@ -249,19 +249,21 @@ BASE_TERMS = ["stock based compensation", "restructuring charges", "impairment o
 
 
 def definitions(v: Views):
-    """Definitions of a supplier: eight shared terms, one of them replaced in some years."""
+    """Definitions of a supplier: eight shared terms, one of them replaced in second quarters; in the third quarter of 1996
+    another one too, which fits the second quarter's wording but no other."""
     odd = F.when(c("fiscal_quarter") == 2, "fx").when((c("fiscal_quarter") == 3) & (c("fiscal_year") == 1998), "wholly other words")
     terms = F.array(*[F.lit(t) for t in BASE_TERMS])
-    own = F.when(odd == "fx", F.array_append(F.slice(terms, 1, 7), F.lit("foreign exchange"))).when(odd.isNotNull(), F.array(*[F.lit(f"term {x}") for x in "pqrst"])).otherwise(terms)
+    chained = F.concat(F.slice(terms, 1, 6), F.array(F.lit("foreign exchange"), F.lit("hedging")))
+    own = F.when((c("fiscal_quarter") == 3) & (c("fiscal_year") == 1996), chained).when(odd == "fx", F.array_append(F.slice(terms, 1, 7), F.lit("foreign exchange"))).when(odd.isNotNull(), F.array(*[F.lit(f"term {x}") for x in "pqrst"])).otherwise(terms)
     rows = v.fiscal().where("metric = 'adjustedEbitda'").withColumn("terms", own)
     return rows.withColumn("fingerprint", F.md5(F.array_join("terms", "|")))
 
 
 @query("Q12_definitions_compatible", """
-SELECT ticker, fiscal_year, fiscal_year <> 1998 OR NOT bool_or(fiscal_quarter = 3) OR count(*) = 1 AS compatible FROM v_fiscal WHERE metric = 'adjustedEbitda' GROUP BY ticker, fiscal_year""")
+SELECT ticker, fiscal_year, NOT (fiscal_year = 1998 AND bool_or(fiscal_quarter = 3) AND count(*) > 1) AND NOT (fiscal_year = 1996 AND bool_or(fiscal_quarter = 3) AND bool_or(fiscal_quarter IN (1, 4))) AS compatible FROM v_fiscal WHERE metric = 'adjustedEbitda' GROUP BY ticker, fiscal_year""")
 def q12(v: Views):
     rows = definitions(v)
-    return CM.definitions_compatible(rows, CM.definition_classes(rows.select("ticker", "fingerprint", "terms")), ["ticker", "fiscal_year"])
+    return CM.definitions_compatible(rows, ["ticker", "fiscal_year"])
 
 
 def entries(v: Views):

@@ -12,6 +12,7 @@ from tidemark.catalog.q_periods import QUARTERS_SQL
 from tidemark.catalog.q_rollups import AS_OF, CY_SQL, DIRECT_SQL, FOUR_SQL, RESOLVE_SQL, YEARS, _bridge
 from tidemark.catalog.registry import query
 from tidemark.catalog.views import Views
+from tidemark.operators.keyed import top_n_per_key
 from tidemark.plans import commentary as PC
 from tidemark.plans import history as PH
 from tidemark.session import checkpoint_dir
@@ -78,11 +79,11 @@ def r01(v: Views):
     return J.latest_version(v.spark, f"{path}/state").withColumn("fetched_at", c("fetched_at").cast("timestamp_ntz"))
 
 
-@query("R02_stream_price_history", "SELECT DISTINCT CAST(user_id AS VARCHAR) AS ticker, CAST(ts AS DATE) AS day FROM events")
+@query("R02_stream_price_history", "SELECT CAST(user_id AS VARCHAR) AS ticker, CAST(ts AS DATE) AS day, max(ts) AS fetched_at, arg_max(value, {'t': ts, 'v': value}) AS price FROM events GROUP BY 1, 2")
 def r02(v: Views):
     path = folder(v, "history")
     J.stream_price_history(event_stream(v), path)
-    return v.spark.read.parquet(f"{path}/history").select("ticker", "day")
+    return J.latest_version(v.spark, f"{path}/state").select("ticker", "day", c("fetched_at").cast("timestamp_ntz").alias("fetched_at"), "price")
 
 
 @query("R04_stream_bars", """
@@ -90,7 +91,7 @@ SELECT CAST(user_id AS VARCHAR) AS ticker, date_trunc('day', ts) AS start, arg_m
 def r04(v: Views):
     path = folder(v, "bars")
     J.stream_bars(event_stream(v), path)
-    return J.latest_version(v.spark, f"{path}/state").withColumn("start", c("start").cast("timestamp_ntz"))
+    return J.bars(J.latest_version(v.spark, f"{path}/state")).withColumn("start", c("start").cast("timestamp_ntz"))
 
 
 @query("R05_stream_promotion")
@@ -100,10 +101,10 @@ def r05(v: Views):
     cell = lambda df, status: df.select("ticker", F.lit("revenue").alias("metric"), F.date_format("fetched_at", "yyyy-MM-dd").alias("period"), c("price").alias("value"), status.alias("status"),
                                         F.lit(None).cast("string").alias("reason"), F.to_date("fetched_at").alias("latest_end"))
     status = F.when(c("price") > 5, "VERIFIED_DERIVED").otherwise("MISSING_SOURCE_DATA")
-    static = v.table("events").where("event_type = 'view'").select(c("user_id").cast("string").alias("ticker"), c("value").alias("price"), c("ts").cast("timestamp").alias("fetched_at"))
-    existing = cell(static, F.lit("VERIFIED_DERIVED")).dropDuplicates(["ticker", "metric", "period"])
-    J.stream_promotion(cell(stream, status).dropDuplicates(["ticker", "metric", "period"]), existing, path)
-    return J.latest_version(v.spark, f"{path}/state")
+    static = v.table("events").where("event_type <> 'purchase'").select(c("user_id").cast("string").alias("ticker"), c("value").alias("price"), c("ts").cast("timestamp").alias("fetched_at"))
+    existing = top_n_per_key(cell(static, F.lit("VERIFIED_DERIVED")), ["ticker", "metric", "period"], [F.desc("value")])
+    J.stream_promotion(cell(stream, status), existing, path)
+    return J.promoted(J.latest_version(v.spark, f"{path}/state"), existing)
 
 
 @query("S13_snapshots", "SELECT ticker, 'v2' AS engine_version, TIMESTAMP '2001-05-02 00:00:00' AS updated_at, close AS revenue FROM (SELECT ticker, arg_max(close, day) AS close FROM v_prices GROUP BY ticker)")

@@ -107,7 +107,7 @@ SUBJECTS = [("First", r"(?i)\bwith\b"), ("Second", r"(?i)\bfor\b")]
 @query("X11_takeaways", rf"""
 WITH {SENT}, g AS (SELECT doc_id, pos, sentence, CASE WHEN regexp_matches(sentence, '{SUBJECTS[0][1]}') THEN 'First' WHEN regexp_matches(sentence, '{SUBJECTS[1][1]}') THEN 'Second' END AS subject, gp AS "group" FROM sent,
  (VALUES ('Results'), ('Outlook')) t(gp) WHERE CASE gp WHEN 'Results' THEN regexp_matches(sentence, '(?i)tion\b|\bthe\b') AND NOT regexp_matches(sentence, '(?i)\bof\b') ELSE regexp_matches(sentence, '(?i)\bund\b|\band\b') AND regexp_matches(sentence, '(?i)\b(by|der|with)\b') END),
-u AS (SELECT doc_id, "group", coalesce(subject, "group") AS subject, lower(left(sentence, 140)) AS k, min(pos) AS pos, arg_min(sentence, pos) AS sentence FROM g GROUP BY ALL)
+u AS (SELECT doc_id, "group", coalesce(subject, "group") AS subject, lower(sentence) AS k, min(pos) AS pos, arg_min(sentence, pos) AS sentence FROM g GROUP BY ALL)
 SELECT doc_id, "group", subject, sentence, CAST(item AS INTEGER) AS item FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, "group" ORDER BY pos) AS item FROM u) WHERE item <= CASE "group" WHEN 'Results' THEN 3 ELSE 2 END""")
 def x11(v: Views):
     return T.takeaways(sentences(v), "doc_id", GROUPS, SUBJECTS).select("doc_id", "group", "subject", "sentence", "item")
@@ -153,7 +153,7 @@ _GUIDE = rf"""
 gs AS (SELECT doc_id, pos, sentence || ' 12.5% for the ' || CASE WHEN pos < 3 THEN 'quarter' ELSE 'full year' END AS sentence FROM sent),
 sc AS (SELECT g.* FROM gs g LEFT JOIN (SELECT doc_id, min(pos) AS s0 FROM gs WHERE regexp_matches(sentence, '{HEADING}') GROUP BY doc_id) h USING (doc_id) WHERE s0 IS NULL OR (pos >= s0 AND pos < s0 + 35)),
 lb AS (SELECT *, CASE WHEN regexp_matches(sentence, '{METRICS[0][1]}') THEN 'GAAP Alpha' WHEN regexp_matches(sentence, '{METRICS[1][1]}') THEN 'Non-GAAP Adjusted Beta' WHEN regexp_matches(sentence, '{METRICS[2][1]}') THEN 'GAAP Gamma' END AS label FROM sc WHERE regexp_matches(sentence, '{FWD}')),
-un AS (SELECT doc_id, label, lower(left(sentence, 120)) AS k, min(pos) AS pos, arg_min(sentence, pos) AS sentence FROM lb WHERE label IS NOT NULL GROUP BY ALL),
+un AS (SELECT doc_id, label, lower(sentence) AS k, min(pos) AS pos, arg_min(sentence, pos) AS sentence FROM lb WHERE label IS NOT NULL GROUP BY ALL),
 hg AS (SELECT *, CASE WHEN pos < 3 THEN 'quarterly' ELSE 'annual' END AS period FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos, label) AS item FROM un) WHERE item <= 16)"""
 
 
@@ -175,7 +175,7 @@ def x15(v: Views):
 
 
 _EV = rf"""
-rec AS (SELECT doc_id, pos, CASE WHEN pos <= 2 THEN 'Filing' ELSE 'Transcript' END AS source, left(trim(regexp_replace(text, '\s+', ' ', 'g')), 280) AS text FROM v_paragraphs),
+rec AS (SELECT doc_id, pos, CASE WHEN pos <= 2 THEN 'Filing' ELSE 'Transcript' END AS source, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM v_paragraphs),
 ev AS (SELECT doc_id, source, min(pos) AS pos, arg_min(text, pos) AS text FROM rec WHERE length(text) >= 18 GROUP BY doc_id, source, lower(text))"""
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.catalog.registry import query
@@ -60,9 +61,12 @@ def p14(v: Views):
 
 
 @query("J16_layer_peers", """
-SELECT u.ticker, f.focal FROM v_universe u JOIN (SELECT layer, arg_min(ticker, company_pos) AS focal FROM v_universe GROUP BY layer) f ON u.layer = f.layer WHERE u.ticker <> f.focal""")
+SELECT u.ticker, f.focal FROM v_universe u JOIN (SELECT layer, layer_pos, ticker AS focal, row_number() OVER (PARTITION BY layer ORDER BY company_pos) AS place FROM v_universe) f ON u.layer = f.layer WHERE u.ticker <> f.focal AND (place = 1 OR (place = 2 AND f.layer_pos = 0))""")
 def j16(v: Views):
-    return U.layer_peers(v.universe(), v.universe()).select("ticker", "focal")
+    # the first company of each layer, and the first two of the first layer
+    place = F.row_number().over(Window.partitionBy("map_name", "layer").orderBy("company_pos", "ticker"))
+    focal = v.universe().withColumn("place", place).where("place = 1 OR (place = 2 AND layer_pos = 0)")
+    return U.layer_peers(v.universe(), focal).select("ticker", "focal")
 
 
 @query("V09_peer_table", """

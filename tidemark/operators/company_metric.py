@@ -9,7 +9,6 @@ from tidemark.functions import numbers as N
 from tidemark.operators import rollups as R
 from tidemark.operators.filings import FINANCIAL_FORMS
 from tidemark.operators.keyed import top_n_per_key
-from tidemark.session import cut_lineage
 
 ANNUAL = ["CALENDAR_YEAR", "FISCAL_YEAR"]
 
@@ -68,41 +67,21 @@ def fuzzy_compatible(left: Column, right: Column) -> Column:
     return (a >= 5) & (b >= 5) & (substantive >= 2) & (s / F.least(a, b) >= 0.85) & (s / F.greatest(a, b) >= 0.75) & (s / F.size(F.array_union(left, right)) >= 0.75)
 
 
-def definition_classes(definitions: DataFrame, max_rounds: int = 10) -> DataFrame:
-    """Class of every definition (ticker, fingerprint, terms): compatible wordings closed over chains.
+def definitions_compatible(facts: DataFrame, group: list[str]) -> DataFrame:
+    """Whether every two definitions of a group fit: equal fingerprints, or wordings of theirs that are fuzzy compatible.
 
-    Terms of a definition are ordered from rare to common. Two sets that share three quarters of their union
-    must share one of their first size - ceil(0.75 size) + 1 terms, so only those meet and no pair is missed.
-    Labels then spread along the pairs until nothing changes; each round is checkpointed.
+    A group is the three or four facts a value is built from. Fuzzy matches do not carry over: A fits B and B fits C says
+    nothing about A and C. A missing fingerprint fits only itself.
     """
-    c = F.col
-    once = definitions.groupBy("ticker", "fingerprint").agg(F.min("terms").alias("terms")).where(F.size("terms") > 0)
-    tokens = once.select("ticker", "fingerprint", "terms", F.explode("terms").alias("token"))
-    frequency = tokens.groupBy("ticker", "token").agg(F.count("*").alias("__n"))
-    ordered = tokens.join(frequency, ["ticker", "token"]).groupBy("ticker", "fingerprint", "terms").agg(
-        F.array_sort(F.collect_list(F.struct("__n", "token"))).alias("o"))
-    prefix = F.slice("o", F.lit(1), (F.size("terms") - F.ceil(F.size("terms") * 0.75) + 1).cast("int"))
-    rare = ordered.select("ticker", "fingerprint", "terms", F.explode(F.transform(prefix, lambda x: x["token"])).alias("token"))
-    left = rare.select("ticker", "token", c("fingerprint").alias("a"), c("terms").alias("ta"))
-    right = rare.select("ticker", "token", c("fingerprint").alias("b"), c("terms").alias("tb"))
-    pairs = left.join(right, ["ticker", "token"]).where("a < b").where(fuzzy_compatible(c("ta"), c("tb"))).select("ticker", "a", "b").distinct()
-    edges = cut_lineage(pairs.unionByName(pairs.select("ticker", c("b").alias("a"), c("a").alias("b"))))
-    labels = definitions.select("ticker", "fingerprint").distinct().withColumn("klass", c("fingerprint"))
-    for _ in range(max_rounds):
-        reached = edges.join(labels.select("ticker", c("fingerprint").alias("a"), c("klass").alias("__k")), ["ticker", "a"]).groupBy("ticker", c("b").alias("fingerprint")).agg(
-            F.min("__k").alias("__k"))
-        spread = cut_lineage(labels.join(reached, ["ticker", "fingerprint"], "left").withColumn("__new", F.least("klass", "__k")))
-        changed = spread.where("__new < klass").limit(1).count()
-        labels = spread.select("ticker", "fingerprint", c("__new").alias("klass"))
-        if not changed:
-            break
-    return labels
-
-
-def definitions_compatible(groups: DataFrame, classes: DataFrame, group: list[str]) -> DataFrame:
-    """Whether all facts of a group belong to one definition class."""
-    joined = groups.join(classes, ["ticker", "fingerprint"], "left")
-    return joined.groupBy(*group).agg((F.count_distinct(F.coalesce("klass", "fingerprint")) <= 1).alias("compatible"))
+    known = F.collect_set(F.struct(F.coalesce("fingerprint", F.lit("")).alias("f"), F.coalesce("terms", F.array().cast("array<string>")).alias("t")))
+
+    def fit(left, right, all_):
+        of = lambda name: F.filter(all_, lambda z: z["f"] == name)
+        return F.exists(of(left["f"]), lambda u: F.exists(of(right["f"]), lambda w: fuzzy_compatible(u["t"], w["t"])))
+
+    defined = facts.groupBy(*group).agg(known.alias("__d"))
+    pairs = F.forall("__d", lambda x: F.forall(F.col("__d"), lambda y: (x["f"] >= y["f"]) | fit(x, y, F.col("__d"))))
+    return defined.select(*group, pairs.alias("compatible"))
 
 
 def lineage_identity(entry: dict[str, Column], components: Column) -> Column:

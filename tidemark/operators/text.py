@@ -60,6 +60,10 @@ EVIDENCE_STOPS = [
 ]
 
 
+#: Lengths between which sentences are read for guidance.
+GUIDANCE_LOW, GUIDANCE_HIGH = 35, 520
+
+
 def sentences(text: Column, low: int = 45, high: int = 360) -> Column:
     """Sentences longer than ``low`` and shorter than ``high`` characters."""
     parts = F.transform(F.split(S.normalize_ws(text), BOUNDARY), lambda s: F.trim(s))
@@ -88,8 +92,8 @@ def firm(role: Column) -> Column:
 
 def card_blocks(pages: DataFrame) -> DataFrame:
     """Transcript page to speaker blocks in order. Columns: call_id, html."""
-    parts = F.slice(F.split("html", r'(?i)<div class="border-t[^"]*"'), 2, 1_000_000)
-    rows = pages.select("call_id", F.posexplode(parts).alias("seq", "block"))
+    parts = F.split("html", r'(?i)<div class="border-t[^"]*"')
+    rows = pages.select("call_id", F.posexplode(parts).alias("seq", "block")).where("seq > 0").withColumn("seq", F.col("seq") - 1)
     grab = lambda pattern: S.strip_html(F.regexp_extract("block", pattern, 1))
     paragraphs = F.regexp_extract_all("block", F.lit(r'(?is)<p class="[^"]*\btext-default\b[^"]*"[^>]*>(.*?)</p>'), F.lit(1))
     body = F.when(F.size(paragraphs) > 0, S.strip_html(F.array_join(paragraphs, " "))).otherwise(grab(r"(?is)<p[^>]*>(.*?)</p>"))
@@ -153,18 +157,26 @@ def sentence_score(sentence: Column, position: Column, rules: list[tuple[str, st
             + F.greatest(F.lit(2) - position, F.lit(0)))
 
 
-def coverage_sentences(text: Column, limit: int = 10, rules: list[tuple[str, str]] | None = None) -> Column:
-    """First, theme-novel and detailed sentences of an answer in reading order; a greedy walk over the ranked array."""
+def coverage_sentences(text: Column, limit: int = 10, rules: list[tuple[str, str]] | None = None, least: int = 6) -> Column:
+    """Sentences of an answer in reading order: the first, the first that scores, ranked ones with a new theme or hard detail,
+    then from the front until there are ``least``, and the last; at most ``limit``. Up to eight are all kept."""
     items = F.transform(answer_sentences(text), lambda s, i: F.named_struct(
         F.lit("score"), -sentence_score(s, i, rules), F.lit("pos"), i, F.lit("sentence"), s, F.lit("themes"), sentence_themes(s, rules)))
-    ranked = F.array_sort(items)
     empty = F.slice(items, 1, 0)
-    wanted = lambda chosen, x: (F.size(chosen) < limit) & (
-        (x["pos"] == 0) | (x["score"] <= -6) | x["sentence"].rlike(S.rx(HARD_DETAIL))
-        | (F.size(F.array_except(x["themes"], F.flatten(F.transform(chosen, lambda y: y["themes"])))) > 0))
-    chosen = F.aggregate(ranked, empty, lambda acc, x: F.when(wanted(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
+    has = lambda chosen, x: F.exists(chosen, lambda y: y["sentence"] == x["sentence"])
+    add = lambda chosen, x: F.when(has(chosen, x), chosen).otherwise(F.concat(chosen, F.array(x)))
+    first = F.slice(items, 1, 1)
+    scored = F.slice(F.filter(items, lambda x: x["score"] < 0), 1, 1)
+    start = F.aggregate(F.concat(first, scored), empty, add)
+    novel = lambda chosen, x: F.size(F.array_except(x["themes"], F.flatten(F.transform(chosen, lambda y: y["themes"])))) > 0
+    wanted = lambda chosen, x: (F.size(chosen) < limit) & ((x["score"] <= -6) | x["sentence"].rlike(S.rx(HARD_DETAIL)) | novel(chosen, x))
+    # what is chosen never exceeds the limit, so a step costs the same however long the answer
+    ranked = F.aggregate(F.array_sort(items), start, lambda acc, x: F.when(wanted(acc, x), add(acc, x)).otherwise(acc))
+    filled = F.aggregate(F.slice(items, 1, least + limit), ranked, lambda acc, x: F.when(F.size(acc) < least, add(acc, x)).otherwise(acc))
+    chosen = F.aggregate(F.slice(items, -1, 1), filled, add)
     kept = F.when(F.size(items) <= 8, items).otherwise(chosen)
-    return F.transform(F.array_sort(F.transform(kept, lambda x: F.named_struct(F.lit("pos"), x["pos"], F.lit("s"), x["sentence"]))), lambda x: x["s"])
+    ordered = F.array_sort(F.transform(kept, lambda x: F.named_struct(F.lit("pos"), x["pos"], F.lit("s"), x["sentence"])))
+    return F.slice(F.transform(ordered, lambda x: x["s"]), 1, limit)
 
 
 def answer_summary(text: Column) -> Column:
@@ -191,7 +203,7 @@ def takeaways(rows: DataFrame, key: str, groups: list[dict], subjects: list[tupl
     matched = F.array_compact(F.array(*[F.when(fits(g), F.struct(F.lit(i).alias("group_pos"), F.lit(g["group"]).alias("group"), F.lit(g["limit"]).alias("cap"))) for i, g in enumerate(groups)]))
     spread = once(rows, {"subject": subject, "groups": matched}).select(key, "pos", "sentence", "subject", F.inline("groups"))
     named = spread.withColumn("subject", F.coalesce("subject", "group"))
-    unique = named.groupBy(key, "group", "subject", F.lower(F.left("sentence", F.lit(140))).alias("__k")).agg(
+    unique = named.groupBy(key, "group", "subject", F.sha2(F.lower("sentence"), 256).alias("__k")).agg(
         F.min(F.struct("pos", "sentence")).alias("r"), F.max("cap").alias("cap"))
     ranked = top_n_per_key(unique.select(key, "group", "subject", "cap", "r.pos", "r.sentence"), [key, "group"], [c("pos")], max(g["limit"] for g in groups), rank="item")
     return ranked.where("item <= cap").drop("cap")
@@ -229,7 +241,7 @@ def hard_guidance(rows: DataFrame, key: str, heading: str = OUTLOOK_HEADING, for
     scoped = rows.join(starts, key, "left").where("__start IS NULL OR (pos >= __start AND pos < __start + %d)" % span)
     labelled = once(scoped, {"label": guidance_metric(c("sentence"), rules)})
     hits = labelled.where(c("label").isNotNull() & hard_number(c("sentence")) & c("sentence").rlike(S.rx(forward)) & ~c("sentence").rlike(S.rx(r"(?i)\btax rate\b")))
-    unique = hits.groupBy(key, "label", F.lower(F.left("sentence", F.lit(120))).alias("__k")).agg(F.min(F.struct("pos", "sentence")).alias("r"))
+    unique = hits.groupBy(key, "label", F.sha2(F.lower("sentence"), 256).alias("__k")).agg(F.min(F.struct("pos", "sentence")).alias("r"))
     best = top_n_per_key(unique.select(key, "label", "r.pos", "r.sentence"), [key], [c("pos"), c("label")], n, rank="item")
     return best.withColumn("period", guidance_period(c("sentence")))
 
@@ -242,9 +254,10 @@ def guidance_groups(filing: DataFrame, transcript: DataFrame, key: str, n: int =
     return top_n_per_key(both, [key, "period"], [F.col("pos"), F.col("label"), F.col("sentence")], n, rank="item")
 
 
-def evidence(records: DataFrame, key: str, cap: int | None = None) -> DataFrame:
+def evidence(records: DataFrame, key: str, cap: int | None = None, max_chars: int | None = None) -> DataFrame:
     """Distinct evidence texts per source with an id, their numbers and accounting basis. Columns: pos, source, text."""
-    text = F.left(S.normalize_ws(F.col("text")), F.lit(280))
+    text = S.normalize_ws(F.col("text"))
+    text = text if max_chars is None else F.left(text, F.lit(max_chars))
     rows = records.withColumn("text", text).where(F.length("text") >= 18)
     unique = rows.groupBy(key, "source", F.lower("text").alias("__k")).agg(F.min(F.struct("pos", "text")).alias("r")).select(key, "source", "r.pos", "r.text")
     numbered = running_sum(unique, [key], "pos", F.lit(1), "__n") if cap is None else top_n_per_key(unique, [key], [F.col("pos"), F.col("source")], cap, rank="__n")

@@ -62,9 +62,8 @@ def classify_issuers(companies: DataFrame, filings: DataFrame, etfs=(), pre_ipo=
 
 
 def layer_peers(universe: DataFrame, focal: DataFrame) -> DataFrame:
-    """Peers of focal companies: one focal company per layer, so the output is linear in the universe."""
-    centre = top_n_per_key(focal, ["map_name", "layer"], [F.col("company_pos"), F.col("ticker")]).select(
-        "map_name", "layer", F.col("ticker").alias("focal"))
+    """Peers of every given focal company in its layer. The output grows with focal companies times layer size, so ask for few."""
+    centre = focal.select("map_name", "layer", F.col("ticker").alias("focal"))
     return universe.join(centre, ["map_name", "layer"]).where("ticker <> focal")
 
 

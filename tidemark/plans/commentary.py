@@ -14,8 +14,9 @@ def call_commentary(blocks: DataFrame, groups: list[dict], subjects: list[tuple[
                     heading: str = T.OUTLOOK_HEADING, forward: str = T.FORWARD) -> DataFrame:
     """(call_id, section, label, text) for every call. Sentence positions follow block and sentence order."""
     c = F.col
-    sentences = blocks.select("call_id", "seq", F.posexplode(T.sentences(c("text"))).alias("s", "sentence")).select(
-        "call_id", (c("seq") * 100_000 + c("s")).alias("pos"), "sentence")
+    rows = lambda low, high: blocks.select("call_id", "seq", F.posexplode(T.sentences(c("text"), low, high)).alias("s", "sentence")).select(
+        "call_id", (c("seq").cast("long") * (1 << 32) + c("s")).alias("pos"), "sentence")
+    sentences, guided = rows(45, 360), rows(T.GUIDANCE_LOW, T.GUIDANCE_HIGH)
     part = lambda df, section, label, text: df.select("call_id", F.lit(section).alias("section"), label.alias("label"), text.alias("text"))
     exchanges = T.qa_exchanges(blocks, cue)
     # topics are counted per block and added up, so a call never has to be one row
@@ -25,7 +26,7 @@ def call_commentary(blocks: DataFrame, groups: list[dict], subjects: list[tuple[
     sections = [
         part(exchanges, "qna", F.concat_ws(" ", "part", c("sequence").cast("string")), c("text")),
         part(T.takeaways(sentences, "call_id", groups, subjects), "takeaways", F.concat_ws(": ", "group", "subject"), c("sentence")),
-        part(T.hard_guidance(sentences, "call_id", heading, forward, metric_rules), "guidance", F.concat_ws(" ", "period", "label"), c("sentence")),
+        part(T.hard_guidance(guided, "call_id", heading, forward, metric_rules), "guidance", F.concat_ws(" ", "period", "label"), c("sentence")),
         part(best, "topics", c("label"), c("score").cast("string")),
     ]
     return reduce(lambda a, b: a.unionByName(b), sections)
