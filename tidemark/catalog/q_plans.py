@@ -127,17 +127,24 @@ def s14(v: Views):
     return stored.groupBy("ticker").agg(F.count_distinct("content_hash").cast("int").alias("versions"), F.count("*").alias("records"))
 
 
-@query("S16_write_audit", "SELECT ticker, metric, period, value, status FROM v_cells")
+@query("S16_write_audit", "SELECT ticker, metric, period, value, CASE WHEN year % 2 = 0 THEN status ELSE 'EARLIER_RUN' END AS status FROM v_cells")
 def s16(v: Views):
     path = folder(v, "audit")
-    SK.write_audit(v.cells().select("ticker", "metric", "period", "value", "status"), path)
-    return v.spark.read.schema("ticker string, metric string, period string, value double, status string").json(f"{path}/json")
+    cells = lambda rows: rows.select("ticker", "metric", "period", "value", "status")
+    SK.write_audit(cells(v.cells().withColumn("status", F.lit("EARLIER_RUN"))), path)
+    # the second run replaces what it has, and keeps the rest
+    SK.write_audit(cells(v.cells().where("year % 2 = 0")), path)
+    return SK.read_audit(v.spark, path)
 
 
 @query("S22_export_table", """SELECT ticker, company || ', "' || layer || '"' AS label FROM v_universe""")
 def s22(v: Views):
     path = folder(v, "export")
-    SK.export_table(v.universe().select("ticker", F.concat("company", F.lit(', "'), "layer", F.lit('"')).alias("label")), path)
-    return v.spark.read.option("header", True).option("escape", '"').csv(path)
+    rows = v.universe().select("ticker", F.concat("company", F.lit(', "'), "layer", F.lit('"')).alias("label"))
+    SK.export_table(rows, f"{path}/csv")
+    SK.export_table(rows, f"{path}/json", "json")
+    # both forms hold the same rows
+    text = v.spark.read.option("header", True).option("escape", '"').csv(f"{path}/csv")
+    return text.intersect(v.spark.read.schema(text.schema).json(f"{path}/json"))
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import cache
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,14 +17,27 @@ OBS_COLS = [
 ]
 
 
+def cache(view: Callable) -> Callable:
+    """Remembers a view's DataFrame for as long as its ``Views`` object lives."""
+
+    @wraps(view)
+    def remembered(self, *args):
+        key = (view.__name__, *args)
+        if key not in self.known:
+            self.known[key] = view(self, *args)
+        return self.known[key]
+
+    return remembered
+
+
 class Views:
     """Views of one scale-factor folder; every view is a lazy DataFrame."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.dir = sf_dir
+        self.known: dict[tuple, DataFrame] = {}
 
-    @cache
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 

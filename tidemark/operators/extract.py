@@ -10,6 +10,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import islice
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -37,14 +38,14 @@ class _Tables(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.tables: list[dict] = []
         self.open: list[dict] = []
-        self.before: list[str] = []
+        self.before = ""
         self.hidden = 0
 
     def handle_starttag(self, tag, attrs):
         if tag in ("script", "style"):
             self.hidden += 1
         elif tag == "table":
-            table = {"rows": [], "caption": [], "in": None, "context": " ".join(" ".join(self.before).split())[-CONTEXT_CHARS:]}
+            table = {"rows": [], "caption": [], "in": None, "context": self.before}
             self.tables.append(table)
             self.open.append(table)
         elif self.open and tag == "tr":
@@ -71,13 +72,18 @@ class _Tables(HTMLParser):
     def handle_data(self, data):
         if self.hidden:
             return
-        self.before.append(data)
+        if words := data.split():
+            self.before = " ".join([self.before, *words] if self.before else words)[-CONTEXT_CHARS:]
         if self.open and self.open[-1]["in"] is not None:
             self.open[-1]["in"].append(data)
 
 
+#: Widest column span that HTML knows.
+MOST_COLUMNS = 1000
+
+
 def _span(value) -> int:
-    return max(1, int(value)) if value and value.isdigit() else 1
+    return max(1, int(value)) if value and value.isdecimal() else 1
 
 
 def _parse(html) -> list[dict]:
@@ -90,17 +96,20 @@ def _parse(html) -> list[dict]:
 def _grid(table: dict) -> Iterator[tuple]:
     """(row, col, origin column, text, is header, is origin) of every position, spans filled in."""
     taken: set[tuple[int, int]] = set()
+    height = len(table["rows"])
     for r, cells in enumerate(table["rows"]):
         c = 0
         for cell in cells:
             while (r, c) in taken:
                 c += 1
             text = " ".join("".join(cell["text"]).split())
-            for dr in range(cell["rows"]):
-                for dc in range(cell["cols"]):
+            # a span ends with the table, as in HTML
+            width = min(cell["cols"], MOST_COLUMNS)
+            for dr in range(min(cell["rows"], height - r)):
+                for dc in range(width):
                     taken.add((r + dr, c + dc))
                     yield r + dr, c + dc, c, text, cell["header"], dr == 0 and dc == 0
-            c += cell["cols"]
+            c += width
 
 
 def explode_tables(documents: DataFrame) -> DataFrame:
@@ -109,8 +118,9 @@ def explode_tables(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["doc_id", "table_no", "row", "col", "origin_col", "text", "is_header", "is_origin"]
         for batch in batches:
-            rows = [(doc, t, *cell) for doc, html in zip(batch["doc_id"], batch["html"]) for t, table in enumerate(_parse(html)) for cell in _grid(table)]
-            yield pd.DataFrame(rows, columns=names)
+            rows = ((doc, t, *cell) for doc, html in zip(batch["doc_id"], batch["html"]) for t, table in enumerate(_parse(html)) for cell in _grid(table))
+            while part := list(islice(rows, 20_000)):
+                yield pd.DataFrame(part, columns=names)
 
     return documents.select("doc_id", "html").mapInPandas(run, CELL_SCHEMA)
 
@@ -120,9 +130,10 @@ def table_contexts(documents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(doc, t, " ".join("".join(x["caption"]).split()), x["context"]) for doc, html in zip(batch["doc_id"], batch["html"])
-                    for t, x in enumerate(_parse(html))]
-            yield pd.DataFrame(rows, columns=["doc_id", "table_no", "caption", "context"])
+            rows = ((doc, t, " ".join("".join(x["caption"]).split()), x["context"]) for doc, html in zip(batch["doc_id"], batch["html"])
+                    for t, x in enumerate(_parse(html)))
+            while part := list(islice(rows, 20_000)):
+                yield pd.DataFrame(part, columns=["doc_id", "table_no", "caption", "context"])
 
     return documents.select("doc_id", "html").mapInPandas(run, CONTEXT_SCHEMA)
 

@@ -6,6 +6,7 @@ their document, and every cap is a rank filter, so long documents and large call
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -345,14 +346,23 @@ def recent_messages(messages: DataFrame, count: int = 8, total: int = 6000) -> D
 
 
 def chunk_text(text: Column, size: int = 1050) -> Column:
-    """Greedy packing of sentences into chunks; a walk over the sentence array of the row."""
-    parts = F.split(S.normalize_ws(text), r"(?<=[.!?])\s+")
-    empty = F.array().cast("array<string>")
-    last = lambda acc: F.element_at(acc, -1)
-    full = lambda acc, s: F.when(F.size(acc) == 0, True).otherwise(F.length(F.try_element_at(acc, F.lit(-1))) + F.length(s) + 1 > size)
-    packed = F.aggregate(parts, empty, lambda acc, s: F.when(full(acc, s), F.concat(acc, F.array(s))).otherwise(
-        F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat_ws(" ", F.try_element_at(acc, F.lit(-1)), s)))))
-    return F.filter(packed, lambda x: x != "")
+    """Greedy packing of sentences into chunks of at most ``size`` characters, one linear pass per text over Arrow batches."""
+
+    @F.pandas_udf("array<string>")
+    def pack(batch: pd.Series) -> pd.Series:
+        def chunks(parts):
+            out, held, length = [], [], 0
+            for part in parts:
+                if held and length + len(part) + 1 > size:
+                    out.append(" ".join(held))
+                    held, length = [], 0
+                length += len(part) + (1 if held else 0)
+                held.append(part)
+            return [x for x in [*out, " ".join(held)] if x]
+
+        return batch.map(lambda parts: None if parts is None else chunks(parts))
+
+    return pack(F.split(S.normalize_ws(text), r"(?<=[.!?])\s+"))
 
 
 def budgeted_select(lines: Column, budget: int) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.keyed import latest_wins
+from tidemark.operators.keyed import top_n_per_key
 
 
 def save_snapshots(snapshots: DataFrame, path: str) -> None:
@@ -15,12 +17,17 @@ def save_snapshots(snapshots: DataFrame, path: str) -> None:
 
 
 def load_snapshots(spark: SparkSession, path: str, tickers: DataFrame | None = None) -> DataFrame:
-    """Newest stored snapshot per ticker, of the wanted tickers only."""
+    """Newest stored snapshot per ticker, of the wanted tickers only; of equally new ones the higher version, then content."""
     store = spark.read.parquet(path)
     if tickers is not None:
         store = store.join(tickers.select("ticker").distinct(), "ticker", "left_semi")
-    newest = store.groupBy("ticker").agg(F.max("updated_at").alias("updated_at"))
-    return store.join(newest, ["ticker", "updated_at"], "left_semi")
+    content = F.xxhash64(*[c for c in store.columns])
+    return top_n_per_key(store, ["ticker"], [F.desc("updated_at"), F.desc("engine_version"), content])
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
 def group_hash(records: DataFrame, key: str) -> DataFrame:
@@ -34,26 +41,56 @@ def write_ledger_snapshot(records: DataFrame, path: str, key: str = "ticker") ->
     """Append the records of every key whose content is not stored yet; returns the new (key, hash) rows."""
     spark = records.sparkSession
     hashes = group_hash(records, key)
-    try:
+    if exists(spark, path):
         stored = spark.read.parquet(path).select(key, "content_hash").distinct()
-        fresh = hashes.join(stored, [key, "content_hash"], "left_anti")
-    except Exception:  # noqa: BLE001 - no store yet
-        fresh = hashes
-    records.join(fresh, key).write.mode("append").parquet(path)
+        hashes = hashes.join(stored, [key, "content_hash"], "left_anti")
+    # written before the records, so that a plan made later does not see them as stored
+    fresh_path = f"{path.rstrip('/')}-added-{uuid.uuid4().hex[:12]}"
+    hashes.write.parquet(fresh_path)
+    fresh = spark.read.parquet(fresh_path)
+    records.join(fresh, key).withColumn("bucket", _bucket(key)).write.mode("append").partitionBy("bucket").parquet(path)
     return fresh
 
 
-def write_audit(records: DataFrame, path: str) -> None:
-    """JSON and CSV of all records, and a table by ticker merged by metric and period."""
-    records.write.mode("overwrite").json(f"{path}/json")
-    export_table(records, f"{path}/csv")
-    records.write.mode("overwrite").parquet(f"{path}/table")
+BUCKETS = 64
+AUDIT_KEY = ["ticker", "metric", "period"]
+
 
+def _bucket(key: str):
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
-def merge_audit(stored: DataFrame, records: DataFrame) -> DataFrame:
-    return latest_wins(stored, records, ["ticker", "metric", "period"], "audited_at")
 
+def _audit_versions(spark: SparkSession, path: str) -> list[str]:
+    if not exists(spark, f"{path}/table"):
+        return []
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/table")
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().toString() for s in fs.listStatus(folder) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
 
-def export_table(df: DataFrame, path: str) -> None:
-    """CSV with every value quoted and quotes doubled."""
-    df.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+
+def read_audit(spark: SparkSession, path: str) -> DataFrame:
+    """The merged audit table."""
+    return spark.read.parquet(_audit_versions(spark, path)[-1]).drop("bucket")
+
+
+def write_audit(records: DataFrame, path: str) -> None:
+    """JSON and CSV of this run's records; the stored table, in which they replace those of their ticker, metric and period;
+    and a manifest with a content hash per ticker of the run."""
+    spark = records.sparkSession
+    records.write.mode("overwrite").json(f"{path}/json")
+    export_table(records, f"{path}/csv")
+    versions = _audit_versions(spark, path)
+    merged = records
+    if versions:
+        merged = read_audit(spark, path).join(records.select(*AUDIT_KEY).distinct(), AUDIT_KEY, "left_anti").unionByName(records)
+    merged.withColumn("bucket", _bucket("ticker")).write.partitionBy("bucket").parquet(f"{path}/table/version={len(versions):06d}")
+    group_hash(records, "ticker").write.mode("overwrite").json(f"{path}/manifest")
+
+
+def export_table(df: DataFrame, path: str, form: str = "csv") -> None:
+    """CSV with every value quoted and quotes doubled, or JSON lines."""
+    if form == "json":
+        df.write.mode("overwrite").json(path)
+    else:
+        df.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
