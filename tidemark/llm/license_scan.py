@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import row_key, text_of, words
+from tidemark.operators.keyed import once
 
 SHINGLE = 5
 #: Share of a template's shingles that a window must hold, in percent.
@@ -79,7 +80,7 @@ def _hashes(df: DataFrame, of: str, out: str) -> DataFrame:
     steps = df.withColumn("__h1", F.transform(of, lambda w: F.xxhash64(w))).withColumn("__h2", pair("__h1", 1)).withColumn("__h4", pair("__h2", 2))
     left = F.greatest(F.size("__h1") - (SHINGLE - 1), F.lit(0))
     joined = F.zip_with(F.slice("__h4", F.lit(1), left), F.slice("__h1", F.lit(SHINGLE), left), lambda a, b: F.xxhash64(a, b))
-    return steps.withColumn(out, joined).drop("__h1", "__h2", "__h4")
+    return once(steps, {out: joined}).drop("__h1", "__h2", "__h4")
 
 
 def _strings(of: str) -> Column:
