@@ -279,7 +279,13 @@ def x01(v: Views):
     return T.card_blocks(pages)
 
 
-@query("W18_budgeted_select")
+@query("W18_budgeted_select", r"""
+WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: length(x) >= 45) AS lines FROM documents),
+s AS (SELECT doc_id, list_sort(list_transform(range(1, len(lines) + 1), lambda i: {'score': -len(regexp_extract_all(lines[i], '(?i)the')), 'pos': i, 'line': lines[i]})) AS ranked FROM l),
+k AS (SELECT doc_id, list_reduce(list_transform(ranked, lambda x: {'used': 0, 'score': x.score, 'kept': [{'pos': x.pos, 'line': x.line}]}), lambda acc, x:
+  CASE WHEN (x.score < 0 OR len(acc.kept) < 2) AND acc.used + length(x.kept[1].line) <= 1200 THEN {'used': (acc.used + length(x.kept[1].line) + 1)::INTEGER, 'score': acc.score, 'kept': acc.kept || x.kept} ELSE acc END,
+  {'used': 0, 'score': 0, 'kept': CAST([] AS STRUCT(pos BIGINT, line VARCHAR)[])}).kept AS kept FROM s)
+SELECT doc_id, array_to_string(list_transform(list_sort(kept), lambda x: x.line), chr(10)) AS chunk FROM k""")
 def w18(v: Views):
     lines = F.transform(F.filter(F.split("text", "\n"), lambda x: F.length(x) >= 45), lambda x, i: F.named_struct(
         F.lit("score"), -F.size(F.regexp_extract_all(x, F.lit("(?i)(the)"), F.lit(1))), F.lit("pos"), i, F.lit("line"), x))
@@ -294,7 +300,10 @@ def w19(v: Views):
     return T.recent_messages(v.table("conversations").select("conv_id", "turn", "text"), 4, 1500)
 
 
-@query("W20_chunk_text")
+@query("W20_chunk_text", r"""
+WITH p AS (SELECT doc_id, list_transform(string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?]) ', '\1' || chr(1), 'g'), chr(1)), lambda x: [x]) AS parts FROM documents),
+k AS (SELECT doc_id, list_filter(list_reduce(parts, lambda acc, x: CASE WHEN length(acc[-1]) + length(x[1]) + 1 <= 1050 THEN acc[1:len(acc) - 1] || [acc[-1] || ' ' || x[1]] ELSE acc || x END), lambda x: x <> '') AS chunks FROM p)
+SELECT doc_id, unnest(range(len(chunks)))::INTEGER AS chunk_index, unnest(chunks) AS content FROM k""")
 def w20(v: Views):
     chunks = v.table("documents").select("doc_id", F.posexplode(T.chunk_text(c("text"), 1050)).alias("chunk_index", "content"))
     return chunks
