@@ -196,7 +196,17 @@ def e12(v: Views):
     return X.forecast_row(page_fields(v).select("doc_id", text.alias("text")), "Operating Income", 2023, ["Net Income", "EPS"])
 
 
-@query("E13_evidence_documents")
+@query("E13_evidence_documents", f"""
+WITH near AS (SELECT q.o_orderkey AS call_id, f.o_orderkey AS doc_id, f.accession, f.form, f.primary_document, abs(CAST(q.filing_date - 5 AS DATE) - f.filing_date) AS distance,
+ CASE f.form WHEN '8-K' THEN 1 WHEN '6-K' THEN 2 WHEN '10-Q' THEN 3 WHEN '10-K' THEN 4 ELSE 0 END AS fr
+ FROM v_filings q JOIN v_filings f ON q.ticker = f.ticker AND abs(CAST(q.filing_date - 5 AS DATE) - f.filing_date) <= 18 WHERE q.form = '10-Q'),
+pf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY call_id, form ORDER BY distance, accession) AS rn FROM near) WHERE rn = 1),
+picked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY distance, fr, accession) AS pick FROM pf) WHERE pick <= 4),
+every AS (SELECT o_orderkey AS call_id, 'https://ir.example.org/' || o_orderkey AS url, 'Company Document' AS source FROM v_filings WHERE form = '10-Q'
+ UNION ALL SELECT call_id, '{BASE}/' || doc_id || '/' || primary_document, form FROM picked
+ UNION ALL SELECT call_id, '{BASE}/' || doc_id || '/' || n, 'Exhibit of ' || form FROM picked, (VALUES ('ex99-1.htm'), ('q.html')) t(n) WHERE form IN ('8-K', '6-K')),
+once AS (SELECT call_id, url, min(source) AS source FROM every GROUP BY ALL)
+SELECT call_id, o.url, source, f.form || ' ' || f.accession AS text FROM once o LEFT JOIN v_filings f ON o.url = '{BASE}/' || f.o_orderkey || '/' || f.primary_document""")
 def e13(v: Views):
     filings = v.filings()
     calls = filings.where("form = '10-Q'").select("ticker", c("o_orderkey").alias("call_id"), F.date_sub("filing_date", 5).alias("call_date"))

@@ -94,7 +94,13 @@ def r04(v: Views):
     return J.bars(J.latest_version(v.spark, f"{path}/state")).withColumn("start", c("start").cast("timestamp_ntz"))
 
 
-@query("R05_stream_promotion")
+@query("R05_stream_promotion", """
+WITH e AS (SELECT CAST(user_id AS VARCHAR) AS ticker, CAST(ts AS DATE) AS day, event_type = 'purchase' AS bought, max(value) AS value FROM events GROUP BY ALL),
+j AS (SELECT coalesce(o.ticker, n.ticker) AS ticker, coalesce(o.day, n.day) AS day, o.value AS ov, n.value AS nv, o.ticker IS NOT NULL AS old, n.ticker IS NOT NULL AS new
+  FROM (SELECT * FROM e WHERE NOT bought) o FULL JOIN (SELECT * FROM e WHERE bought) n ON o.ticker = n.ticker AND o.day = n.day),
+t AS (SELECT ticker, (bool_or(old AND (NOT new OR nv <= 5)) OR NOT bool_or(new)) AND bool_or(old) AS keep FROM j GROUP BY ticker)
+SELECT ticker, 'revenue' AS metric, strftime(day, '%Y-%m-%d') AS period, CASE WHEN keep THEN ov ELSE nv END AS value, CASE WHEN keep OR nv > 5 THEN 'VERIFIED_DERIVED' ELSE 'MISSING_SOURCE_DATA' END AS status,
+  CAST(NULL AS VARCHAR) AS reason, day AS latest_end FROM j JOIN t USING (ticker) WHERE CASE WHEN keep THEN old ELSE new END""")
 def r05(v: Views):
     path = folder(v, "promotion")
     stream = event_stream(v).where("event_type = 'purchase'")
