@@ -7,6 +7,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 
 import __spark_entry__ as entry  # noqa: E402
 import verify  # noqa: E402
+from tidemark.catalog.views import Views  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 SAMPLE = ["V01_watchlist_snapshot", "J02_price_on_or_before", "W16_resample", "W05_dedupe_economic_periods", "A06_calendar_year", "T05_rank_targeted_filings",
@@ -30,3 +31,10 @@ def test_no_cross_or_nested_loop_join(spark, name):
 
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="test tables not present")
+@pytest.mark.parametrize("view", ["obs", "ledger", "cells", "estimates", "provider"])
+def test_views_read_line_items_once(spark, view):
+    plan = getattr(Views(spark, SMALL), view)()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_extendedprice") > 0 and sum("Relation [l_orderkey" in line for line in plan.splitlines()) == 1

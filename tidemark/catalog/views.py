@@ -161,33 +161,33 @@ class Views:
         cum = self.cumulative()
         fq = F.col("fiscal_quarter")
 
-        def rows(df, period_type, filed, suffix, form, value, restated):
-            accession = F.concat(
-                F.substring("ticker", 2, 10), F.lit("-"), F.date_format(filed, "yy"), F.lit("-"),
-                F.lpad((F.col("fiscal_year") * 10 + suffix).cast("string"), 6, "0"),
-            )
-            return df.select(
-                F.concat(F.lit("FILED:"), accession, F.lit(":"), F.col("metric")).alias("source_id"), "ticker", "metric",
-                period_type.alias("period_type"), "start_date", "end_date", F.lit("REPORTED").alias("authority"),
-                "fiscal_year", "fiscal_quarter", self._calendar().alias("calendar_id"), value.alias("value"),
-                F.lit("USD").alias("currency"), F.lit("USD").alias("unit"), F.lit("FILED").alias("provider"),
-                filed.alias("filed"), accession.alias("accession"), form.alias("form"),
-                F.lit("CONSOLIDATED").alias("scope"), F.lit("UNSPECIFIED").alias("op_scope"),
-                F.lit("REPORTED").alias("basis"), F.lit(None).cast("string").alias("method"),
-                F.concat(F.lit("DEF_"), F.col("metric")).alias("definition"), F.lit(restated).alias("restated"),
+        def filing(period_type, days, suffix, form, value, restated):
+            return F.struct(
+                period_type.alias("period_type"), F.date_add("end_date", days).alias("filed"), suffix.alias("suffix"),
+                form.alias("form"), value.alias("value"), F.lit(restated).alias("restated"),
             )
 
-        first = rows(
-            cum,
+        first = filing(
             F.when(fq == 1, "STANDALONE_QUARTER").when(fq == 2, "YTD_6M").when(fq == 3, "YTD_9M").otherwise("FISCAL_YEAR"),
-            F.date_add("end_date", F.when(fq == 4, 75).otherwise(40)), fq,
-            F.when(fq == 4, "10-K").otherwise("10-Q"), F.col("value"), False,
+            F.when(fq == 4, 75).otherwise(40), fq, F.when(fq == 4, "10-K").otherwise("10-Q"), F.col("value"), False,
         )
-        again = rows(
-            cum.where((fq == 4) & F.col("region_key").isin(1, 2)), F.lit("FISCAL_YEAR"), F.date_add("end_date", 440),
-            F.lit(9), F.lit("10-K/A"), F.col("value") + F.col("n"), True,
+        again = filing(F.lit("FISCAL_YEAR"), F.lit(440), F.lit(9), F.lit("10-K/A"), F.col("value") + F.col("n"), True)
+        # the later filing of some years comes out of the same pass
+        filings = F.array_compact(F.array(first, F.when((fq == 4) & F.col("region_key").isin(1, 2), again)))
+        rows = cum.select(
+            "ticker", "metric", "fye_month", "fiscal_year", "fiscal_quarter", "start_date", "end_date", F.inline(filings))
+        accession = F.concat(
+            F.substring("ticker", 2, 10), F.lit("-"), F.date_format("filed", "yy"), F.lit("-"),
+            F.lpad((F.col("fiscal_year") * 10 + F.col("suffix")).cast("string"), 6, "0"),
         )
-        return first.unionByName(again).select(*OBS_COLS)
+        return rows.withColumn("accession", accession).select(
+            F.concat(F.lit("FILED:"), "accession", F.lit(":"), "metric").alias("source_id"), "ticker", "metric", "period_type",
+            "start_date", "end_date", F.lit("REPORTED").alias("authority"), "fiscal_year", "fiscal_quarter",
+            self._calendar().alias("calendar_id"), "value", F.lit("USD").alias("currency"), F.lit("USD").alias("unit"),
+            F.lit("FILED").alias("provider"), "filed", "accession", "form", F.lit("CONSOLIDATED").alias("scope"),
+            F.lit("UNSPECIFIED").alias("op_scope"), F.lit("REPORTED").alias("basis"), F.lit(None).cast("string").alias("method"),
+            F.concat(F.lit("DEF_"), "metric").alias("definition"), "restated",
+        ).select(*OBS_COLS)
 
     @cache
     def provider(self) -> DataFrame:
@@ -223,21 +223,20 @@ class Views:
             .when(F.col("metric") == "ebit", "OperatingIncomeLoss").otherwise("AdjustedEBITDA")
         )
 
-        def rows(df, namespace, concept, label, value, filed, segment):
-            return df.select(
-                "ticker", F.lit(namespace).alias("namespace"), concept.alias("concept"), label.alias("label"),
-                "start_date", "end_date", value.alias("value"), F.lit("USD").alias("currency"), "form",
-                filed.alias("filed"), "accession", F.lit(segment).cast("string").alias("segment"),
+        def fact(namespace, concept, label, value, filed, segment):
+            return F.struct(
+                F.lit(namespace).alias("namespace"), concept.alias("concept"), label.alias("label"), value.alias("value"),
+                filed.alias("filed"), F.lit(segment).cast("string").alias("segment"),
             )
 
-        revenue = obs.where("metric = 'revenue'")
-        return (
-            rows(obs, "us-gaap", concept, F.col("metric"), F.col("value"), F.col("filed"), None)
-            .unionByName(rows(revenue, "company", F.lit("TotalRevenues"), F.lit("Total revenues"), F.col("value") + 7,
-                              F.date_add("filed", 10), None))
-            .unionByName(rows(revenue.where("form = '10-K'"), "us-gaap", F.lit("Revenues"), F.lit("revenue"),
-                              F.floor(F.col("value") / 2).cast("double"), F.col("filed"), "ProductLine"))
-        )
+        revenue = F.col("metric") == "revenue"
+        facts = F.array_compact(F.array(
+            fact("us-gaap", concept, F.col("metric"), F.col("value"), F.col("filed"), None),
+            F.when(revenue, fact("company", F.lit("TotalRevenues"), F.lit("Total revenues"), F.col("value") + 7, F.date_add("filed", 10), None)),
+            F.when(revenue & (F.col("form") == "10-K"), fact("us-gaap", F.lit("Revenues"), F.lit("revenue"), F.floor(F.col("value") / 2).cast("double"), F.col("filed"), "ProductLine")),
+        ))
+        return obs.select("ticker", "start_date", "end_date", F.lit("USD").alias("currency"), "form", "accession", F.inline(facts)).select(
+            "ticker", "namespace", "concept", "label", "start_date", "end_date", "value", "currency", "form", "filed", "accession", "segment")
 
     @cache
     def filings(self) -> DataFrame:
@@ -264,13 +263,17 @@ class Views:
         c = F.col
         years = self.cumulative().where("fiscal_quarter = 4").select("ticker", "metric", c("fiscal_year").alias("year"), "value", "region_key")
 
+        own = lambda metric: F.max(F.when(c("metric") == metric, c("value"))).alias(metric)
+        # six metrics at most meet in a group; the two differences come out of the same pass
+        wide = years.groupBy("ticker", "year", "region_key").agg(
+            F.collect_list(F.struct("metric", "value")).alias("reported"), own("revenue"), own("costOfRevenue"), own("operatingCashFlow"), own("capitalExpenditures"))
+
         def minus(left, right, name):
-            other = years.where(c("metric") == right).select("ticker", "year", c("value").alias("__other"))
-            return years.where(c("metric") == left).join(other, ["ticker", "year"]).select(
-                "ticker", F.lit(name).alias("metric"), "year", (c("value") - c("__other")).alias("value"), "region_key")
+            value = c(left) - c(right)
+            return F.when(value.isNotNull(), F.struct(F.lit(name).alias("metric"), value.alias("value")))
 
-        rows = years.unionByName(minus("revenue", "costOfRevenue", "grossProfit")).unionByName(
-            minus("operatingCashFlow", "capitalExpenditures", "freeCashFlow"))
+        derived = F.array_compact(F.array(minus("revenue", "costOfRevenue", "grossProfit"), minus("operatingCashFlow", "capitalExpenditures", "freeCashFlow")))
+        rows = wide.select("ticker", "year", "region_key", F.inline(F.concat("reported", derived)))
         status = (
             F.when((c("metric") == "ebit") & (c("year") == 1997), "REQUIRES_REVIEW")
             .when((c("metric") == "adjustedEbitda") & (c("year") == 1998), "INSUFFICIENT_PERIOD_COVERAGE")
