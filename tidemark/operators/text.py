@@ -420,7 +420,8 @@ def context_file_check(sections: DataFrame, required: list[str], placeholder: st
 def commentary_audit(items: DataFrame, key: str) -> DataFrame:
     """Checks of a commentary: number support, duplicates, empty groups. Columns: group, text, cited."""
     c = F.col
-    marked = once(with_support(items), {"sig": signature(c("text"))})
+    # whole texts count as repeats, not their first words
+    marked = once(with_support(items), {"sig": F.sha2(F.lower(S.normalize_ws(c("text"))), 256)})
     per_sig = marked.groupBy(key, "group", "sig").agg(F.count("*").alias("n"), F.bool_and("supported").alias("supported"))
     return per_sig.groupBy(key).agg(F.bool_and("supported").alias("numbers_supported"), F.bool_and(c("n") == 1).alias("no_duplicates"),
                                     F.count_distinct("group").alias("groups"), F.sum("n").alias("items"))
