@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import SPACE, squeezed, staged, text_of, words
+from tidemark.operators.keyed import once
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -61,13 +62,13 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     steps = steps.withColumn("__h2", _paired("__h1", 1)).withColumn("__h4", _paired("__h2", 2)).withColumn("__h8", _paired("__h4", 4))
     repeats = F.size(F.array_distinct("__h8")) < F.size("__h8")
     n_words = F.size("__words").cast("long")
-    out = steps.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        n_words.alias("n_words"), F.length(squeezed(text)).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        F.when(repeats, _covered("__h8")).otherwise(0).cast("long").alias("n_repeat_words"), F.size("__lines").cast("long").alias("n_lines"),
-    )
+    # a filter on these must not take their expressions below the steps
+    out = once(steps, {
+        "n_words": n_words, "word_chars": F.length(squeezed(text)).cast("long"),
+        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+        "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
+        "n_repeat_words": F.when(repeats, _covered("__h8")).otherwise(0).cast("long"), "n_lines": F.size("__lines").cast("long"),
+    }).drop("__words", "__lines", "__h1", "__h2", "__h4", "__h8")
     return out.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
