@@ -19,10 +19,13 @@ from collections.abc import Iterator
 from functools import cache
 from itertools import islice
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import row_key, staged, text_of
 
@@ -30,6 +33,9 @@ GIANT = 1 << 16
 CHUNK = 1 << 14
 #: Chunks whose matrices one task multiplies.
 BLOCK = 64
+#: Texts that are encoded at once, and pairs of pieces that a task remembers.
+LOT = 64
+REMEMBERED = 200_000
 #: What the model writes for a space.
 MARK = "\u2581"
 
@@ -80,7 +86,7 @@ class Pieces:
             return True
         found = self.known.get((before, piece))
         if found is None:
-            if len(self.known) > 2_000_000:
+            if len(self.known) > REMEMBERED:
                 self.known.clear()
             found = self.known[before, piece] = self.merge(before + piece) == [before, piece]
         return found
@@ -281,38 +287,55 @@ def _giants(rows: DataFrame, model: bytes, chunk: int, block: int) -> DataFrame:
             yield batch[["k1", "k2", "n", "n_chunks"]].assign(ids=ids)
 
     chunks = staged(rows.mapInPandas(cut, "k1 long, k2 long, n long, text string, start int, width int, runs array<int>, hollow string, n_chunks long"), "pieces-chunks")
-    matrices = chunks.repartition("k1", "k2", "n").mapInPandas(measure, "k1 long, k2 long, n long, n_chunks long, matrix string")
+    # chunks are few bytes and much work: a number of partitions that is named is not merged
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    matrices = chunks.repartition(tasks, "k1", "k2", "n").mapInPandas(measure, "k1 long, k2 long, n long, n_chunks long, matrix string")
     matrices = staged(matrices.withColumn("block", F.floor(F.col("n") / block)), "pieces-matrices")
     blocks = matrices.groupBy(*key, "block").applyInPandas(product, "k1 long, k2 long, block long, matrix string")
     ends = blocks.groupBy(*key).applyInPandas(scan, "k1 long, k2 long, block long, entry string, goal string")
     states = matrices.join(ends, [*key, "block"]).groupBy(*key, "block").applyInPandas(place, "k1 long, k2 long, n long, entry string, goal string")
-    traced = chunks.join(states, [*key, "n"]).mapInPandas(backtrace, "k1 long, k2 long, n long, n_chunks long, ids array<int>")
+    traced = chunks.join(states, [*key, "n"]).repartition(tasks, *key, "n").mapInPandas(backtrace, "k1 long, k2 long, n long, n_chunks long, ids array<int>")
     # the result is one array per document, so its parts must meet
     return traced.groupBy(*key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", "ids"))), lambda x: x["ids"])).alias("ids"), F.max("n_chunks").alias("n_chunks"))
 
 
-def encoded(docs: DataFrame, model_file: str, giant: int = GIANT, chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
-    """``docs`` plus ids, the model's encoding of the whole text, and n_chunks, 1 for texts of up to ``giant`` characters.
+def _whole(rows: DataFrame, model: bytes, keep_text: bool) -> DataFrame:
+    """Texts that need no inner boundary, in lots, so that a task holds the ids of a few texts only."""
+    kept = [c for c in rows.columns if keep_text or c != "text"]
+    schema = T.StructType([*[rows.schema[c] for c in kept], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_chunks", T.LongType()), T.StructField("round_trip", T.BooleanType())])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        processor = sentencepiece.SentencePieceProcessor(model_proto=model)
+        for batch in batches:
+            for start in range(0, batch.num_rows, LOT):
+                lot = batch.slice(start, LOT)
+                texts = [text or "" for text in lot.column("text").to_pylist()]
+                ids = processor.encode(texts, num_threads=1)
+                same = [a == b for a, b in zip(processor.decode(ids, num_threads=1), texts, strict=True)]
+                columns = [lot.column(c) for c in kept] + [pa.array(ids, pa.list_(pa.int32())), pa.array([1] * len(texts), pa.int64()), pa.array(same, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, [*kept, "ids", "n_chunks", "round_trip"])
+
+    return rows.mapInArrow(encode, schema)
+
+
+def encoded(docs: DataFrame, model_file: str, giant: int = GIANT, chunk: int = CHUNK, block: int = BLOCK, keep_text: bool = True) -> DataFrame:
+    """``docs`` plus ids, the model's encoding of the whole text, n_chunks, 1 for texts of up to ``giant`` characters, and
+    round_trip: whether decoding the ids gives the text again.
 
     ``model_file`` is read on the driver and travels to the tasks. Null and empty texts have no ids. Rows equal in every
-    column are encoded alike. An empty table gives no rows. Columns named ids and n_chunks are replaced.
+    column are encoded alike. An empty table gives no rows. Columns named like the new ones are replaced; the text itself is
+    left out unless ``keep_text``.
     """
     with open(model_file, "rb") as f:
         model = f.read()
-
-    @F.pandas_udf("array<int>")
-    def whole(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        processor = sentencepiece.SentencePieceProcessor(model_proto=model)
-        for batch in batches:
-            yield pd.Series(processor.encode(batch.tolist(), num_threads=1), dtype=object)
-
-    names = [c for c in docs.columns if c not in ("ids", "n_chunks")]
+    names = [c for c in docs.columns if c not in ("ids", "n_chunks", "round_trip")]
+    kept = [F.col(f"`{c}`") for c in names if keep_text or c != "text"]
     rows = docs.select(*[F.col(f"`{c}`") for c in names])
-    small = rows.where(F.length(text_of("text")) <= giant).withColumn("ids", whole(text_of("text"))).withColumn("n_chunks", F.lit(1).cast("long"))
+    small = _whole(rows.where(F.length(text_of("text")) <= giant), model, keep_text)
     keyed = rows.where(F.length(text_of("text")) > giant).withColumn("__k1", row_key(rows, 1)).withColumn("__k2", row_key(rows, 2))
     found = _giants(keyed.select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), "text").dropDuplicates(["k1", "k2"]), model, chunk, block)
-    large = keyed.join(found, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2"))).select(*[F.col(f"`{c}`") for c in names], "ids", "n_chunks")
-    return small.unionByName(large)
+    large = decoded(keyed.join(found, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2"))), model_file)
+    return small.unionByName(large.select(*kept, "ids", "n_chunks", (F.col("decoded") == F.col("text")).alias("round_trip")))
 
 
 def decoded(rows: DataFrame, model_file: str) -> DataFrame:
@@ -327,12 +350,12 @@ def decoded(rows: DataFrame, model_file: str) -> DataFrame:
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         processor = sentencepiece.SentencePieceProcessor(model_proto=model)
         for batch in batches:
-            yield pd.Series([None if ids is None else processor.decode(ids.tolist()) for ids in batch], dtype=object)
+            yield pd.Series([None if ids is None else processor.decode(np.asarray(ids).tolist()) for ids in batch], dtype=object)
 
     return rows.withColumn("decoded", text(F.col("ids")))
 
 
 def encoded_documents(docs: DataFrame, model_file: str) -> DataFrame:
-    """doc_id, n_tokens, ids, n_chunks and round_trip: whether decoding gives the text again (null as empty)."""
-    both = decoded(encoded(docs.select("doc_id", "text"), model_file), model_file)
-    return both.select("doc_id", F.size("ids").alias("n_tokens"), "ids", "n_chunks", (F.col("decoded") == text_of("text")).alias("round_trip"))
+    """doc_id, n_tokens, ids, n_chunks and round_trip of every document."""
+    out = encoded(docs.select("doc_id", "text"), model_file, keep_text=False)
+    return out.select("doc_id", F.size("ids").alias("n_tokens"), "ids", "n_chunks", "round_trip")
