@@ -55,9 +55,23 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """The rows written once to the shared folder and read from there: computed once, and safe against lost executors."""
-    path = scratch(df.sparkSession, name)
+    return staged_at(df, name)[0]
+
+
+def staged_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``staged``, and the folder, for tables that are removed before the work is done."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    # Spark removes the shuffle files of a finished job when the driver collects garbage, by itself twice an hour
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a staged table that no plan will read again."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def numbered(df: DataFrame, keys: list[str], by: str, ties: list[Column], out: str, bits: int = 8) -> DataFrame:
@@ -88,16 +102,18 @@ def components(edges: DataFrame) -> DataFrame:
     shared folder; rounds grow with the logarithm of the nodes.
     """
     smaller = F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")
-    edges = staged(edges.where("u != v").select(*smaller).distinct().select("u", "v"), "components")
+    spark = edges.sparkSession
+    edges, path = staged_at(edges.where("u != v").select(*smaller).distinct().select("u", "v"), "components")
     while True:
         ways = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         known = ways.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
         large = ways.join(known, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
         small = large.join(least, F.col("u") == F.col("w")).select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        fresh = staged(small.select("e.u", "e.v").where("u != v").distinct(), "components")
+        fresh, fresh_path = staged_at(small.select("e.u", "e.v").where("u != v").distinct(), "components")
         moved = fresh.join(edges, ["u", "v"], "left_anti").limit(1).count()
-        edges = fresh
+        removed(spark, path)
+        edges, path = fresh, fresh_path
         if not moved:
             break
     roots = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))

@@ -3,7 +3,7 @@
 1. Every text becomes the set of its shingles' 64-bit hashes; texts with one set are a class, named by 128 bits of it.
 2. A class that links to another lacks at most ``misses(n)`` of its n shingles there, so of any part of the hash space with
    a of its shingles at least a - misses(n) occur in another class. A quarter of the space is counted; what passes is read
-   again with all its shingles. The test loses no link, it only drops classes that cannot have one.
+   again and counted with all its shingles. The test loses no link, it only drops classes that cannot have one.
 3. Shingles are put into one global order, common ones last. Linked sets share one of the first misses(n) + 1 shingles;
    classes joined by such a shingle form a cluster (edges per shingle lead to its smallest class, so they stay linear).
 4. Each cluster is joined in a trie of its sets. A query walks it with the overlap so far, shared by all sets below a node,
@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, staged, text_of, words
+from tidemark.llm.common import components, removed, staged, staged_at, text_of, words
+from tidemark.operators.keyed import once
 
 SHINGLE = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -54,7 +55,7 @@ def with_shingles(docs: DataFrame, out: str = "shingles") -> DataFrame:
     few = F.when(F.size("__h1") > 0, F.array(F.xxhash64(F.size("__h1"), "__h1"))).otherwise(F.array().cast("array<bigint>"))
     long = F.slice(full, F.lit(1), F.greatest(F.size("__h1") - (SHINGLE - 1), F.lit(0)))
     chosen = F.when(F.size("__h1") >= SHINGLE, F.sort_array(F.array_distinct(long))).otherwise(few)
-    return steps.withColumn(out, chosen).drop("__h1", "__h2", "__h4")
+    return once(steps, {out: chosen}).drop("__h1", "__h2", "__h4")
 
 
 def misses(n: Column) -> Column:
@@ -141,8 +142,29 @@ def shared_shingles(sets: DataFrame, buckets: int) -> DataFrame:
 
 
 def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The COMMON most frequent shingles, sorted, and the rank of each: rarer ones first."""
-    counts = sets.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+    """The COMMON most frequent shingles, sorted, and the rank of each: rarer ones first.
+
+    Tasks count what they gather and leave out what they met once, so frequencies are lower bounds. Any order is a right one,
+    as long as all tasks use the same; this one only has to put what very many sets share behind the rest.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def send():
+            found, times = np.unique(np.concatenate(held), return_counts=True)
+            return pa.record_batch([pa.array(found[times > 1]), pa.array(times[times > 1])], ["shingle", "n"])
+
+        for batch in batches:
+            held.append(_flat(batch.column("shingles"))[0])
+            size += len(held[-1])
+            if size >= GATHERED:
+                yield send()
+                held, size = [], 0
+        if held:
+            yield send()
+
+    counts = sets.select("shingles").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 2")
     top = counts.orderBy(F.desc("n"), "shingle").limit(COMMON).collect()
     shingles = np.array([r["shingle"] for r in top], np.int64)
     ranks = np.arange(len(top), 0, -1)
@@ -289,6 +311,10 @@ def _join_tasks(rows: DataFrame) -> DataFrame:
     return dealt.select("task", "label", "n", "shingles", "asks").mapInArrow(run, "u binary, v binary")
 
 
+def _with_shingles(tasks: DataFrame, sets: DataFrame) -> DataFrame:
+    return tasks.join(sets, F.col("member") == F.col("node")).select("task", "label", "n", "shingles", "asks")
+
+
 def _task(*parts: Column) -> Column:
     return F.concat(F.col("cluster"), *[F.unhex(F.lpad(F.hex(p.cast("long")), 16, "0")) for p in parts])
 
@@ -301,26 +327,28 @@ def linked_classes(sets: DataFrame) -> DataFrame:
     meetings = edges.join(centres, F.col("shingle") == F.col("of")).where("node != v").select(F.col("node").alias("u"), "v").distinct()
     clusters = components(meetings).select(F.col("node").alias("member"), F.col("root").alias("cluster"))
 
-    sized = sets.select("node", "n").join(clusters, F.col("node") == F.col("member")).select("node", "cluster", (F.col("n") + SET_COST).alias("cost"))
-    blocks = sized.groupBy("cluster").agg(F.ceil(F.sum("cost") / BLOCK).cast("int").alias("blocks"))
-    placed = clusters.join(blocks, "cluster").select("member", "cluster", "blocks", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int").alias("block"))
+    sized = sets.select("node", "n").dropDuplicates(["node"]).join(clusters, F.col("node") == F.col("member")).select("member", "cluster", (F.col("n") + SET_COST).alias("cost"))
+    blocks = sized.groupBy("cluster").agg(F.ceil(F.sum("cost") / BLOCK).cast("int").alias("blocks")).withColumnRenamed("cluster", "c")
+    placed = sized.join(blocks, F.col("cluster") == F.col("c")).select("member", "cluster", "cost", "blocks", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int").alias("block"))
     placed = staged(placed, "join-clusters")
-    rows = sets.join(placed, F.col("node") == F.col("member"))
 
+    # tasks are made out of narrow rows; shingles join them once, at the end
     goals = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
-    inside = rows.select("cluster", F.explode(goals).alias("goal"), F.col("node").alias("label"), "n", "shingles", F.lit(True).alias("asks"))
-    first = components(_join_tasks(inside.withColumn("task", _task(F.col("goal")))))
+    inside = placed.select("member", "cluster", F.explode(goals).alias("goal"), F.col("member").alias("label"), F.lit(True).alias("asks"))
+    first = components(_join_tasks(_with_shingles(inside.withColumn("task", _task(F.col("goal"))), sets)))
 
-    large = placed.where("blocks > 1").join(first, F.col("member") == F.col("node"), "left").select("member", "cluster", "blocks", "block", F.coalesce("root", "member").alias("label"))
+    large = placed.where("blocks > 1").join(first, F.col("member") == F.col("node"), "left").select("member", "cluster", "cost", "blocks", "block", F.coalesce("root", "member").alias("label"))
+    large = staged(large, "join-large")
     sizes = large.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("members"))
     main = sizes.groupBy("cluster").agg(F.max(F.struct("members", "label")).alias("m")).select(F.col("cluster").alias("c"), F.col("m.label").alias("main"))
-    parted = sets.select("node", "n", "shingles").join(large, F.col("node") == F.col("member")).join(main, F.col("cluster") == F.col("c"))
-    outside = parted.where("label != main")
-    rounds = outside.groupBy("cluster").agg(F.ceil(F.sum(F.col("n") + SET_COST) / BLOCK).cast("int").alias("rounds")).select(F.col("cluster").alias("rc"), "rounds")
-    asking = outside.join(rounds, F.col("cluster") == F.col("rc")).withColumn("round", F.pmod(F.xxhash64(F.lit(2), "node"), F.col("rounds").cast("long")))
-    asking = asking.select("cluster", "round", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "label", "n", "shingles", F.lit(True).alias("asks"))
-    asked = parted.join(rounds, F.col("cluster") == F.col("rc")).select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rounds").cast("long") - 1)).alias("round"), "block", "label", "n", "shingles", F.lit(False).alias("asks"))
-    second = _join_tasks(asking.unionByName(asked).withColumn("task", _task(F.col("round"), F.col("block"))))
+    outside = large.join(main, F.col("cluster") == F.col("c")).where("label != main").drop("c", "main")
+    rounds = outside.groupBy("cluster").agg(F.ceil(F.sum("cost") / BLOCK).cast("long").alias("rounds")).withColumnRenamed("cluster", "rc")
+    asking = outside.join(rounds, F.col("cluster") == F.col("rc")).withColumn("round", F.pmod(F.xxhash64(F.lit(2), "member"), F.col("rounds")))
+    asking = asking.select("member", "cluster", "round", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "label", F.lit(True).alias("asks"))
+    asked = large.join(rounds, F.col("cluster") == F.col("rc")).select("member", "cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rounds") - 1)).alias("round"), "block", "label", F.lit(False).alias("asks"))
+    # few rows, or none; once written, Spark sees that and does not move all sets for them
+    tasks = staged(asking.unionByName(asked).withColumn("task", _task(F.col("round"), F.col("block"))), "join-tasks")
+    second = _join_tasks(_with_shingles(tasks, sets))
     return components(first.where("node != root").select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(second))
 
 
@@ -335,16 +363,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     limit = int(-(2**63) + 2**64 * SAMPLED)
     buckets = max(64, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     all_sets = shingle_sets(docs).withColumn("shingles", F.filter("shingles", lambda x: x < limit))
-    narrow = staged(all_sets, "join-sets")
-    classes = narrow.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("key").alias("key"), F.first("n").alias("n"), F.first(F.size("shingles")).alias("a"))
-    shared = shared_shingles(narrow, buckets).withColumnRenamed("key", "of")
+    sampled, path = staged_at(all_sets, "join-sets")
+    classes = sampled.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("key").alias("key"), F.first("n").alias("n"), F.first(F.size("shingles")).alias("a"))
+    shared = shared_shingles(sampled, buckets).withColumnRenamed("key", "of")
     able = classes.join(shared, F.col("key") == F.col("of"), "left").where(F.coalesce("shared", F.lit(0)) >= F.col("a") - misses(F.col("n")))
     able = staged(able.select("least", F.col("node").alias("wanted")), "join-able")
+    narrow = staged(sampled.select("doc_id", "node", "n"), "join-nodes")
+    removed(spark, path)
     again = docs.select("doc_id", "text").join(able, F.col("doc_id").eqNullSafe(F.col("least")))
-    sets = staged(shingle_sets(again.select("doc_id", "text")).select("node", "n", "shingles").where("n > 0"), "join-shingles")
+    full, path = staged_at(shingle_sets(again.select("doc_id", "text")).select("node", "key", "n", "shingles"), "join-shingles")
+    # the same test over all shingles: what most of a set shares with nobody left cannot be linked
+    common = shared_shingles(full, buckets).withColumnRenamed("key", "of")
+    sets = full.join(common, F.col("key") == F.col("of")).where((F.col("n") > 0) & (F.col("shared") >= F.col("n") - misses(F.col("n"))))
+    sets = staged(sets.select("node", "n", "shingles"), "join-shared")
+    removed(spark, path)
     roots = linked_classes(sets)
 
-    named = classes.select(F.col("node").alias("c"), "least").join(roots, F.col("c") == F.col("node"), "left").select("c", "least", F.coalesce("root", "c").alias("root"))
+    classes = narrow.where("n > 0").groupBy(F.col("node").alias("c")).agg(F.min("doc_id").alias("least"))
+    named = classes.join(roots, F.col("c") == F.col("node"), "left").select("c", "least", F.coalesce("root", "c").alias("root"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r")
     names = named.join(smallest, F.col("root") == F.col("r")).select("c", "component_id")
     out = narrow.select("doc_id", "n", "node").join(names, F.col("node") == F.col("c"), "left")
