@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brute import component_ids, shingles
-from conftest import ODD, document
+from conftest import LINES, ODD, SCHEMA, document
 from tidemark.llm import ngram_join, packing
 from tidemark.llm.common import components, numbered
 
@@ -121,6 +121,25 @@ def test_join_of_odd_rows(odd, none):
     assert ngram_join.near_duplicates(none).count() == 0 and ngram_join.one_of_each(none).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    texts = ["\n".join(LINES[k : k + 5]) for k in (0, 6)]
+    extra = [document(None, t) for t in (LINES[5], LINES[5], texts[1], texts[1] + " ", "", None)] + [document(30, texts[1]), document(31, LINES[0]), document(31, LINES[0].upper()), document(31, LINES[0])]
+    # digests that left out nulls would take the first two for one row
+    swapped = [document(40, LINES[3], "en", None), document(40, LINES[4], "en", None), document(40, LINES[4], None, "en")]
+    rows = ODD + extra + swapped
+    left = [tuple(r) for r in ngram_join.one_of_each(spark.createDataFrame(rows, SCHEMA)).collect()]
+    groups = {}
+    for name, row in zip(component_ids([(i, r[1]) for i, r in enumerate(rows)]), rows, strict=True):
+        groups.setdefault(name, []).append(row)
+    assert len(left) == len(groups)
+    for members in groups.values():
+        mine = [r for r in left if r in members]
+        if shingles(members[0][1]):
+            assert len(mine) == 1
+        # the smallest doc_id stays, a null one only where there is no other
+        assert {(r[0] is None, r[0] or 0) for r in mine} == {min((r[0] is None, r[0] or 0) for r in members)}
+
+
 def _padding(histogram, ends):
     return sum(n * (min(e for e in ends if e >= length) - length) for length, n in histogram)
 

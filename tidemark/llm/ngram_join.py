@@ -67,12 +67,30 @@ def _needed(n: int) -> int:
     return (PERCENT * n + 99) // 100
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, node (16 bytes of the set, equal for equal sets), key, n and shingles."""
-    sets = with_shingles(docs.select("doc_id", "text"))
+def _keyed(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """Adds two 64-bit digests of the row's ``columns``, nulls told apart by their place."""
+    values = [F.col(f"`{c}`") for c in columns]
+    nulls = F.array(*[v.isNull() for v in values])
+    return docs.withColumn("__k1", F.xxhash64(F.lit(1), nulls, *values)).withColumn("__k2", F.xxhash64(F.lit(2), nulls, *values))
+
+
+def _chosen_rows(keyed: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` whose digests are in ``chosen`` (k1, k2, single); of rows equal by them one, where ``single`` holds."""
+
+    def among(keys: DataFrame) -> DataFrame:
+        return keyed.join(keys, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left_semi")
+
+    # mostly none; once written, Spark sees that and does not move all texts for them
+    repeated = staged(chosen.where("single").select("k1", "k2"), "join-repeated")
+    return among(chosen.where("not single").select("k1", "k2")).unionByName(among(repeated).dropDuplicates(["__k1", "__k2"]))
+
+
+def shingle_sets(keyed: DataFrame) -> DataFrame:
+    """doc_id, the row's digests, node (16 bytes of the set, equal for equal sets), key, n and shingles."""
+    sets = with_shingles(keyed.select("doc_id", "text", "__k1", "__k2"))
     first, second = F.xxhash64("shingles"), F.xxhash64(F.lit(1), "shingles")
     node = F.unhex(F.concat(F.lpad(F.hex(first), 16, "0"), F.lpad(F.hex(second), 16, "0")))
-    return sets.select("doc_id", node.alias("node"), first.alias("key"), F.size("shingles").alias("n"), "shingles")
+    return sets.select("doc_id", "__k1", "__k2", node.alias("node"), first.alias("key"), F.size("shingles").alias("n"), "shingles")
 
 
 def _flat(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -352,42 +370,57 @@ def linked_classes(sets: DataFrame) -> DataFrame:
     return components(first.where("node != root").select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(second))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of ``docs``.
+def _grouped(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, __k1, __k2, node, n) of every row, and (c, least, root) of every class of texts with words.
 
-    component_id is the smallest doc_id that links reach, null ids last. Texts without words, and null texts, have no shingles
-    and are linked with nothing, not even one another. Rows with equal sets are one class. Rows that share a doc_id are taken
-    by their texts. An empty table gives no rows; other columns are ignored.
+    ``least`` is the row of the class that comes first: no_id, doc_id, k1, k2, and copies, the rows equal to it by their digests.
     """
-    spark = docs.sparkSession
+    spark = keyed.sparkSession
     limit = int(-(2**63) + 2**64 * SAMPLED)
     buckets = max(64, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    all_sets = shingle_sets(docs).withColumn("shingles", F.filter("shingles", lambda x: x < limit))
+    all_sets = shingle_sets(keyed).withColumn("shingles", F.filter("shingles", lambda x: x < limit))
     sampled, path = staged_at(all_sets, "join-sets")
-    classes = sampled.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("key").alias("key"), F.first("n").alias("n"), F.first(F.size("shingles")).alias("a"))
+    equal = sampled.where("n > 0").groupBy("node", "doc_id", "__k1", "__k2").agg(F.count(F.lit(1)).alias("copies"), F.first("key").alias("key"), F.first("n").alias("n"), F.first(F.size("shingles")).alias("a"))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), F.col("copies").alias("copies"))
+    classes = staged(equal.groupBy("node").agg(F.min(place).alias("least"), F.first("key").alias("key"), F.first("n").alias("n"), F.first("a").alias("a")), "join-classes")
     shared = shared_shingles(sampled, buckets).withColumnRenamed("key", "of")
     able = classes.join(shared, F.col("key") == F.col("of"), "left").where(F.coalesce("shared", F.lit(0)) >= F.col("a") - misses(F.col("n")))
-    able = staged(able.select("least", F.col("node").alias("wanted")), "join-able")
-    narrow = staged(sampled.select("doc_id", "node", "n"), "join-nodes")
+    able = staged(able.select(F.col("least.doc_id").alias("least")), "join-able")
+    narrow = staged(sampled.select("doc_id", "__k1", "__k2", "node", "n"), "join-nodes")
     removed(spark, path)
-    again = docs.select("doc_id", "text").join(able, F.col("doc_id").eqNullSafe(F.col("least")))
-    full, path = staged_at(shingle_sets(again.select("doc_id", "text")).select("node", "key", "n", "shingles"), "join-shingles")
+    again = keyed.join(able, F.col("doc_id").eqNullSafe(F.col("least")))
+    full, path = staged_at(shingle_sets(again).select("node", "key", "n", "shingles"), "join-shingles")
     # the same test over all shingles: what most of a set shares with nobody left cannot be linked
     common = shared_shingles(full, buckets).withColumnRenamed("key", "of")
     sets = full.join(common, F.col("key") == F.col("of")).where((F.col("n") > 0) & (F.col("shared") >= F.col("n") - misses(F.col("n"))))
     sets = staged(sets.select("node", "n", "shingles"), "join-shared")
     removed(spark, path)
     roots = linked_classes(sets)
+    named = classes.select(F.col("node").alias("c"), "least").join(roots, F.col("c") == F.col("node"), "left")
+    return narrow, named.select("c", "least", F.coalesce("root", "c").alias("root"))
 
-    classes = narrow.where("n > 0").groupBy(F.col("node").alias("c")).agg(F.min("doc_id").alias("least"))
-    named = classes.join(roots, F.col("c") == F.col("node"), "left").select("c", "least", F.coalesce("root", "c").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r")
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of ``docs``.
+
+    component_id is the smallest doc_id that links reach, null ids last. Texts without words, and null texts, have no shingles
+    and are linked with nothing, not even one another. Rows with equal sets are one class. Rows that share a doc_id are taken
+    by their texts. An empty table gives no rows; other columns are ignored.
+    """
+    narrow, named = _grouped(_keyed(docs.select("doc_id", "text"), ["doc_id", "text"]))
+    smallest = named.groupBy("root").agg(F.min("least.doc_id").alias("component_id")).withColumnRenamed("root", "r")
     names = named.join(smallest, F.col("root") == F.col("r")).select("c", "component_id")
     out = narrow.select("doc_id", "n", "node").join(names, F.col("node") == F.col("c"), "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents whose doc_id names their component, with their own columns; a null doc_id stays where no other is linked."""
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    """One row of each component, with its own columns: the one with the smallest doc_id (null last), then with the least digest.
+
+    Of rows equal in every column one stays. Texts without words are linked with nothing, so all of them stay.
+    """
+    keyed = _keyed(docs, docs.columns)
+    narrow, named = _grouped(keyed)
+    first = named.groupBy("root").agg(F.min("least").alias("f")).select("f.k1", "f.k2", (F.col("f.copies") > 1).alias("single"))
+    blank = narrow.where("n = 0").select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), F.lit(False).alias("single")).distinct()
+    return _chosen_rows(keyed, staged(first.unionByName(blank), "join-kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
