@@ -140,6 +140,27 @@ def test_one_row_of_each_component_stays(spark):
         assert {(r[0] is None, r[0] or 0) for r in mine} == {min((r[0] is None, r[0] or 0) for r in members)}
 
 
+def test_a_class_is_read_once_under_null_and_repeated_ids(spark, monkeypatch):
+    rng = random.Random(9)
+    rows, plain = [], [" ".join(f"p{k}w{i}" for i in range(60)) for k in range(8)]
+    for k, base in enumerate(plain):
+        for text in _near_copies(rng, base, 5, 2):
+            rows += [document(None, text)] * 2 if k % 2 else [document(7, text), document(7, text), document(None, text)]
+    read, kept = {}, ngram_join.staged_at
+
+    def counting(df, name):
+        out = kept(df, name)
+        read[name] = out[0].count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "staged_at", counting)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = sorted(map(str, ((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(docs).collect())))
+    expected = component_ids([(r[0], r[1]) for r in rows])
+    assert got == sorted(str((r[0], len(shingles(r[1])), c)) for r, c in zip(rows, expected, strict=True))
+    assert 8 <= read["join-shingles"] <= len({frozenset(shingles(r[1])) for r in rows})
+
+
 def _padding(histogram, ends):
     return sum(n * (min(e for e in ends if e >= length) - length) for length, n in histogram)
 

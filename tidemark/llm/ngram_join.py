@@ -385,10 +385,11 @@ def _grouped(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = staged(equal.groupBy("node").agg(F.min(place).alias("least"), F.first("key").alias("key"), F.first("n").alias("n"), F.first("a").alias("a")), "join-classes")
     shared = shared_shingles(sampled, buckets).withColumnRenamed("key", "of")
     able = classes.join(shared, F.col("key") == F.col("of"), "left").where(F.coalesce("shared", F.lit(0)) >= F.col("a") - misses(F.col("n")))
-    able = staged(able.select(F.col("least.doc_id").alias("least")), "join-able")
+    able = staged(able.select("least.k1", "least.k2", (F.col("least.copies") > 1).alias("single")), "join-able")
     narrow = staged(sampled.select("doc_id", "__k1", "__k2", "node", "n"), "join-nodes")
     removed(spark, path)
-    again = keyed.join(able, F.col("doc_id").eqNullSafe(F.col("least")))
+    # by the digests, so that a class is read once also where its id is null or repeats
+    again = _chosen_rows(keyed.select("doc_id", "text", "__k1", "__k2"), able)
     full, path = staged_at(shingle_sets(again).select("node", "key", "n", "shingles"), "join-shingles")
     # the same test over all shingles: what most of a set shares with nobody left cannot be linked
     common = shared_shingles(full, buckets).withColumnRenamed("key", "of")
