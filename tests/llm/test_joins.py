@@ -209,3 +209,17 @@ def test_buckets_are_optimal_on_the_table(spark):
         cost = np.minimum(cost, np.array([min([cost[i] + distinct[j] * (below[j] - below[i]) for i in range(j)], default=cost[j]) for j in range(len(distinct))]))
     on_grid = max(distinct) < 4096
     assert not on_grid or sum(r["bucket_len"] for r in got) == cost[-1]
+
+
+def test_boundaries_of_long_texts_are_real_lengths(spark):
+    rng = random.Random(3)
+    lengths = [5461] * 3 + [20_020] + [rng.choice((4097, 4099, 6001, 8193, 9999, 12_345)) for _ in range(40)]
+    rows = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, n long")
+    histogram = sorted((x, lengths.count(x)) for x in set(lengths))
+    for buckets in (3, 16):
+        got = packing.packed(rows, "n", buckets).collect()
+        distinct = [x for x, _ in histogram]
+        best = min(_padding(histogram, [*inner, distinct[-1]]) for k in range(min(buckets, len(distinct))) for inner in itertools.combinations(distinct[:-1], k))
+        assert sum(r["padding"] for r in got) == best and {r["bucket_len"] for r in got} <= set(lengths)
+    # three rows of 5,461 words fit into 16,384 tokens
+    assert {(r["batch"], r["slot"]) for r in got if r["n"] == 5461} == {(0, 0), (0, 1), (0, 2)}

@@ -1,7 +1,8 @@
 """Length buckets that need the least padding, and batches of a token budget inside them.
 
 The histogram of lengths is taken over all rows; dynamic programming over it picks the bucket lengths for which padding
-every row up to its bucket costs least in total. Each bucket is then cut into batches of as many rows as the budget
+every row up to its bucket costs least in total. Lengths are exact: texts of d distinct lengths have at least d * (d - 1) / 2
+words together, so the histogram grows with the root of the corpus at most. Each bucket is then cut into batches of as many rows as the budget
 holds at its length.
 """
 
@@ -12,13 +13,12 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import numbered, row_key, text_of, words
 
-#: Lengths below 2^FINE are told apart exactly, longer ones to that many leading bits, rounded up. So the histogram has at
-#: most 2^FINE + 2^(FINE - 1) * (63 - FINE) entries (4,096 up to length 4,096; 45,056 up to 2^32), however many rows there are.
+#: Leading bits of ``on_grid``.
 FINE = 12
 
 
 def on_grid(length: Column) -> Column:
-    """The length, rounded up to FINE leading bits."""
+    """The length, rounded up to FINE leading bits. Boundaries do not use it; they are real lengths."""
     step = F.pow(F.lit(2.0), F.greatest(F.length(F.bin(length)) - FINE, F.lit(0))).cast("long")
     return ((length + step - 1) / step).cast("long") * step
 
@@ -70,8 +70,8 @@ def _useless(a: int, b: int, c: int, cost: list, below: list[int]) -> bool:
 
 
 def length_histogram(rows: DataFrame, length: str) -> list[tuple[int, int]]:
-    """Rows per length on the grid; the list is bounded by the grid."""
-    counts = rows.groupBy(on_grid(F.col(length)).alias("length")).agg(F.count(F.lit(1)).alias("n"))
+    """Rows per length."""
+    counts = rows.groupBy(F.col(length).alias("length")).agg(F.count(F.lit(1)).alias("n"))
     return sorted((r["length"], r["n"]) for r in counts.collect())
 
 
@@ -86,10 +86,9 @@ def packed(rows: DataFrame, length: str, buckets: int = 16, token_budget: int =
     taken = ("bucket_len", "batch", "slot", "padding")
     rows = rows.select(*[F.col(f"`{c}`") for c in rows.columns if c not in taken])
     ends = best_boundaries(length_histogram(rows, length), buckets)
-    grid = on_grid(F.col(length))
     bucket = F.lit(ends[-1] if ends else 0).cast("long")
     for end in reversed(ends[:-1]):
-        bucket = F.when(grid <= end, F.lit(end).cast("long")).otherwise(bucket)
+        bucket = F.when(F.col(length) <= end, F.lit(end).cast("long")).otherwise(bucket)
     placed = rows.withColumn("bucket_len", bucket).withColumn("__r", row_key(rows, seed))
     at = numbered(placed, ["bucket_len"], "__r", [F.col(f"`{c}`") for c in rows.columns], "__at", split_bits)
     room = F.greatest(F.lit(1).cast("long"), F.expr(f"{token_budget} div greatest(bucket_len, 1)"))
