@@ -91,6 +91,21 @@ def test_classifier_without_two_labels(odd, none, spark):
     assert quality_classifier.kept_documents(odd, labels).columns == odd.columns
 
 
+def test_classifier_sample_has_one_text_per_id(spark):
+    docs = spark.createDataFrame([(i % 8, f"text {i} of many " * 3) for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, quality int")
+    got = quality_classifier.labelled_sample(docs, labels, 2500, 20)
+    drawn = {i for i in range(8) if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert sorted(r["doc_id"] for r in got) == sorted(drawn) and all(len(r["text"]) <= 20 for r in got)
+
+
+def test_classifier_features_do_not_grow_with_length():
+    good, bad = (quality_classifier._compressor(d * 40) for d in (b"some good words ", b"<b>buy now</b> "))
+    text = (" ".join(f"word{i}" for i in range(2000)))[: 8 * quality_classifier.PIECE]
+    assert len(text) == 8 * quality_classifier.PIECE
+    assert np.allclose(quality_classifier.features(text, good, bad), quality_classifier.features(text * 10, good, bad))
+
+
 def _texts():
     rng = random.Random(5)
     alphabet = "ab tion the  \n é😀日本,.3\tx" + sentencepieces.MARK

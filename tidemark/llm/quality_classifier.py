@@ -2,7 +2,7 @@
 
 Two zstandard dictionaries are trained on labelled texts of either kind. A text is cut into pieces of PIECE bytes, so that
 the dictionary matters as much at its end as at its start, and all pieces are compressed with both. Size differences and
-sizes, relative to the length, feed a logistic curve that is fitted on labelled texts the dictionaries have not seen.
+sizes, relative to the length, and the mean size of a piece feed a logistic curve that is fitted on labelled texts the dictionaries have not seen.
 """
 
 from __future__ import annotations
@@ -63,10 +63,11 @@ def features(text: str, good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompr
     data = text.encode() or b" "
     size = len(data)
     g = b = 0
-    for piece in _pieces(data):
+    pieces = _pieces(data)
+    for piece in pieces:
         g += len(good.compress(piece))
         b += len(bad.compress(piece))
-    return [(b - g) / size, (b - g) / (b + g), g / size, b / size, math.log(size), (g / size) ** 2, (b / size) ** 2]
+    return [(b - g) / size, (b - g) / (b + g), g / size, b / size, math.log(size / len(pieces)), (g / size) ** 2, (b / size) ** 2]
 
 
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,8 +100,8 @@ def held_out() -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, chars: int) -> list:
     """Up to ``rows`` labelled texts for each label and each use, and of a text longer than ``chars`` one stretch of it.
 
-    Rows are drawn by a hash of doc_id, first from the narrow labels, so at most 4 * ``rows`` identifiers are broadcast and
-    4 * ``rows`` * ``chars`` characters reach the driver. Held-out rows are never drawn.
+    Rows are drawn by a hash of doc_id, first from the narrow labels, so at most 4 * ``rows`` identifiers are broadcast. Of rows
+    with one doc_id the least stretch is taken, so 4 * ``rows`` * ``chars`` characters reach the driver. Held-out rows are never drawn.
     """
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).where(~held_out()).select("doc_id", "quality")
     once = usable.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("__high")).where("quality = __high").drop("__high")
@@ -111,7 +112,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, chars: int) -
     cut = F.when(F.length("text") > chars, F.expr("substring(text, start, chars)")).otherwise(F.col("text"))
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     out = texts.withColumn("start", start.cast("int")).withColumn("chars", F.lit(chars)).select("doc_id", "quality", "use", "__h", cut.alias("text"))
-    return sorted(out.collect(), key=lambda r: (r["__h"], r["doc_id"], r["text"]))
+    single = out.groupBy("doc_id", "quality", "use", "__h").agg(F.min("text").alias("text"))
+    return sorted(single.collect(), key=lambda r: (r["__h"], r["doc_id"], r["text"]))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = 2500, chars: int = 8192) -> Model:
