@@ -38,3 +38,12 @@ def test_every_oracle_has_a_query():
 def test_views_read_line_items_once(spark, view):
     plan = getattr(Views(spark, SMALL), view)()._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("l_extendedprice") > 0 and sum("Relation [l_orderkey" in line for line in plan.splitlines()) == 1
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="test tables not present")
+def test_exchange_summaries_hold_whole_answers_of_every_exchange(spark, monkeypatch):
+    monkeypatch.setattr(verify, "SF_DIR", SMALL)
+    name = "J24_exchange_with_analysis"
+    assert name in entry.oracle_sql()
+    _, status, detail, _ = verify.run(name, spark, entry.queries(), entry.oracle_sql())
+    assert status == "ok", detail

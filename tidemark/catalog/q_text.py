@@ -242,10 +242,14 @@ def x28(v: Views):
     return T.validated_groups(draft.select("doc_id", "group", "pos", "text", "cited"), fallback.select("doc_id", "group", "pos", "text"), "doc_id").select("doc_id", "group", "pos", "origin")
 
 
-@query("J24_exchange_with_analysis")
+@query("J24_exchange_with_analysis", f"""
+WITH {_QA},
+points AS (SELECT call_id, sequence, string_agg(text, '; ' ORDER BY seq, text) AS points FROM ex WHERE part = 'answer' GROUP BY ALL)
+SELECT call_id, CAST(sequence AS BIGINT) AS sequence, coalesce(points, text) AS summary FROM ex LEFT JOIN points USING (call_id, sequence) WHERE part = 'question'""")
 def j24(v: Views):
+    # a question that no answer follows keeps its summary
     summaries = exchanges(v).where("part = 'question'").select("call_id", "sequence", c("text").alias("summary"))
-    points = exchanges(v).where("part = 'answer' AND sequence < 3").select("call_id", "sequence", c("seq").alias("pos"), F.left("text", F.lit(80)).alias("point"))
+    points = exchanges(v).where("part = 'answer'").select("call_id", "sequence", c("seq").alias("pos"), c("text").alias("point"))
     return T.exchange_with_analysis(summaries, points)
 
 
