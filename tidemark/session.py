@@ -45,9 +45,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    path = os.path.join(tempfile.gettempdir(), f"tidemark-checkpoints-{os.getpid()}")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    return os.path.join(tempfile.gettempdir(), f"tidemark-checkpoints-{os.getpid()}")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
