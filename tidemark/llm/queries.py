@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import capture_index, exact_dedup, license_scan, line_dedup, ngram_join, packing, quality_classifier, quality_rules, sentencepieces, sharding
+from tidemark.llm import capture_index, exact_dedup, license_scan, line_dedup, merkle_manifest, ngram_join, packing, quality_classifier, quality_rules, sentencepieces, sharding
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,41 @@ FROM x WHERE 100 * matched >= 80 * n GROUP BY doc_id, license
 
 
 ORACLES["op4_license_scan"] = _license_sql()
+
+QUERIES["op12_merkle_manifest"] = lambda spark, sf_dir: merkle_manifest.proven_documents(table(spark, sf_dir, "documents"))
+
+
+def _merkle_sql() -> str:
+    fields = "sha256(" + " || ".join(f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+    # the nodes of all levels; a level of one node is the last
+    climb = "SELECT k, level + 1, i // 3, (n + 2) // 3, sha256(string_agg(hash, '' ORDER BY i)) FROM {t} WHERE n > 1 GROUP BY k, level, i // 3, n"
+    # siblings of row x at each level, as what stands left and right of it
+    steps = """SELECT x.row, t.level, coalesce(string_agg(t.hash, '' ORDER BY t.i) FILTER (WHERE t.i < x.i // pow(3, t.level)::BIGINT), '') AS l,
+    coalesce(string_agg(t.hash, '' ORDER BY t.i) FILTER (WHERE t.i > x.i // pow(3, t.level)::BIGINT), '') AS r
+  FROM {x} x JOIN {t} t ON t.k IS NOT DISTINCT FROM x.k AND t.n > 1 AND t.i // 3 = x.i // pow(3, t.level + 1)::BIGINT GROUP BY x.row, t.level"""
+    return f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source AS k, {fields.format(text="text")} AS leaf, {fields.format(text="replace(text, chr(10), '')")} AS cut,
+    list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) & 1 = 1 AS even
+  FROM documents
+), x AS (
+  SELECT *, row_number() OVER () AS row, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY k) AS n FROM d
+), t AS (SELECT k, 0 AS level, i, n, leaf AS hash FROM x UNION ALL {climb.format(t="t")}),
+g AS (SELECT k AS source, 0 AS k, hash, row_number() OVER () AS row, row_number() OVER (ORDER BY k NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT k, 0 AS level, i, n, hash FROM g UNION ALL {climb.format(t="u")}),
+p AS ({steps.format(x="x", t="t")}),
+q AS ({steps.format(x="g", t="u")}),
+inner_path AS (SELECT row, list({{'l': l, 'r': r}} ORDER BY level) AS path FROM p GROUP BY row),
+outer_path AS (SELECT row, list({{'l': l, 'r': r}} ORDER BY level) AS path FROM q GROUP BY row),
+w AS (
+  SELECT x.doc_id, x.leaf, g.hash AS subroot, (SELECT hash FROM u WHERE n = 1) AS root, coalesce(ip.path, []) || coalesce(op.path, []) AS path, CASE WHEN even THEN cut ELSE leaf END AS found
+  FROM x JOIN g ON g.source IS NOT DISTINCT FROM x.k LEFT JOIN inner_path ip ON ip.row = x.row LEFT JOIN outer_path op ON op.row = g.row
+), z AS (
+  SELECT *, list_reduce(list_prepend({{'l': found, 'r': ''}}, path), lambda a, s: {{'l': sha256(s.l || a.l || s.r), 'r': ''}}).l AS folded_root FROM w
+)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda s: s.l || s.r), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM z
+"""
+
+
+ORACLES["op12_merkle_manifest"] = _merkle_sql()
