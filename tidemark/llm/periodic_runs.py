@@ -291,12 +291,16 @@ def with_runs(docs: DataFrame, least: int = LEAST, keep_text: bool = True) -> Da
 
 def looped(text: Column, number: Column) -> Column:
     """The text; where number % 10 is 0 and it has words, its words from one place on repeat as a loop whose length the number decides."""
-    found = words(text)
-    n, g = F.size(found), F.floor(number / 10)
-    a = g % n
-    p = 1 + F.floor((n - a) / (3 + g % 8))
-    turned = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(found, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")))
-    return F.when((number % 10 == 0) & (n > 0), F.array_join(turned, " ")).otherwise(text)
+    g = F.floor(number / 10)
+
+    def loop(x: Column) -> Column:
+        a, p = x["a"], 1 + F.floor((F.size(x["w"]) - x["a"]) / (3 + g % 8))
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.size(x["w"]) - 1), lambda i: F.get(x["w"], F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " ")
+
+    # arrays of one element bind what the innermost step needs, so it is not computed for every word
+    found = F.transform(F.array(words(text)), lambda w: F.struct(w.alias("w"), (g % F.size(w)).alias("a")))
+    turned = F.transform(F.filter(found, lambda x: F.size(x["w"]) > 0), loop)
+    return F.when(number % 10 == 0, F.coalesce(F.get(turned, 0), text)).otherwise(text)
 
 
 def runs_of_documents(docs: DataFrame) -> DataFrame:
