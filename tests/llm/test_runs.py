@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 
 from conftest import ODD
@@ -18,19 +19,16 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 def runs_by_definition(words, least):
     """For each period, smallest first, the longest stretches in which words that far apart are equal; a stretch met before has a smaller period."""
+    known = {w: n for n, w in enumerate(dict.fromkeys(words))}
+    numbers = np.array([known[w] for w in words], np.int64)
     found = {}
     for q in range(1, len(words) // 2 + 1):
-        i = 0
-        while i < len(words) - q:
-            if words[i] != words[i + q]:
-                i += 1
-                continue
-            a = i
-            while i < len(words) - q and words[i] == words[i + q]:
-                i += 1
-            # a period of a stretch of two lengths of it is the smallest one unless a smaller one has the stretch
-            if i - a + q >= max(least, 2 * q) and not any(s <= a and a + (i - a + q) <= s + n for (s, n), p in found.items() if q % p == 0):
-                found[a, i - a + q] = q
+        same = np.concatenate([[False], numbers[:-q] == numbers[q:], [False]])
+        edges = np.flatnonzero(same[1:] != same[:-1])
+        for a, b in edges.reshape(-1, 2).tolist():
+            # a period of two lengths of it is the smallest one unless a divisor has the stretch
+            if b - a + q >= max(least, 2 * q) and not any(s <= a and b + q <= s + n for (s, n), p in found.items() if q % p == 0):
+                found[a, b - a + q] = q
     return sorted((a, n, q) for (a, n), q in found.items())
 
 
@@ -86,7 +84,7 @@ def test_extensions_equal_the_definition():
             k += 1
         return k
 
-    assert extension(periodic_runs.np.array(a), periodic_runs.np.array(b)).tolist() == [common(i, j) for i, j in zip(a, b, strict=True)]
+    assert extension(np.array(a), np.array(b)).tolist() == [common(i, j) for i, j in zip(a, b, strict=True)]
     order, _ = periodic_runs.Tree(text, 3).tour(down=True)
     assert order.tolist() == sorted(range(91), key=lambda i: [-x for x in text[i:]])
 

@@ -141,7 +141,9 @@ def manifest(leaves: DataFrame, group: str, order: list[str], digits: int = DIGI
     null first; leaves inside one by ``order``, nulls first, then by hash, so repeated rows are leaves of their own. The tree over the
     groups is built like those inside them. An empty table gives no rows.
     """
-    rows = ranked(leaves.select(F.col(f"`{group}`").alias("k"), *[F.col(f"`{c}`") for c in order], "hash", "load"), "k", [*order, "hash"], "merkle-ranks")
+    # leaves are narrow: ranges are found from them, and the rows they digest are read once
+    rows = staged(leaves.select(F.col(f"`{group}`").alias("k"), *[F.col(f"`{c}`") for c in order], "hash", "load"), "merkle-leaves")
+    rows = ranked(rows, "k", [*order, "hash"], "merkle-ranks")
     inner = raised(rows.select("k", "rank", "n", "hash", "load"), digits, "merkle-inner")
     roots = ranked(inner[-1].select(F.lit(0).alias("all"), "k", F.col("node.hash").alias("hash")), "all", ["k"], "merkle-groups")
     outer = raised(roots.select(F.col("all").alias("k"), "rank", "n", "hash", F.struct("k").alias("load")), digits, "merkle-outer")
