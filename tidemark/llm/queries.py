@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import capture_index, exact_dedup, license_scan, line_dedup, merkle_manifest, ngram_join, packing, periodic_runs, quality_classifier, quality_rules, sentencepieces, sharding
+from tidemark.llm import capture_index, exact_dedup, license_scan, line_dedup, merkle_manifest, ngram_join, packing, periodic_runs, quality_classifier, quality_rules, sentencepieces, sharding, token_counts
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,6 +104,10 @@ FROM x WHERE 100 * matched >= 80 * n GROUP BY doc_id, license
 
 ORACLES["op4_license_scan"] = _license_sql()
 
+#: Vocabulary file of op13: BPE with word ends.
+WORDS_FILE = "/opt/tokenizers/word_bpe_49k.json"
+QUERIES["op13_token_counts"] = lambda spark, sf_dir: token_counts.counted_documents(table(spark, sf_dir, "documents"), WORDS_FILE)
+
 QUERIES["op11_periodic_runs"] = lambda spark, sf_dir: periodic_runs.runs_of_documents(table(spark, sf_dir, "documents"))
 
 QUERIES["op12_merkle_manifest"] = lambda spark, sf_dir: merkle_manifest.proven_documents(table(spark, sf_dir, "documents"))

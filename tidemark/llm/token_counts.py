@@ -328,11 +328,15 @@ class Machine:
             return Map(a.head, a.tokens + k, state.key)
         return Map(a.head, a.tokens + k + self.rest(state) + b.tokens, b.tail)
 
+    def begun(self, whole: Map) -> Map:
+        """The map of a text that nothing precedes: the same state for every one before it."""
+        state, tokens = self.over(self.between, whole.head)
+        return Map("", tokens, state.key) if whole.tail is None else Map("", tokens + self.rest(state) + whole.tokens, whole.tail)
+
     def counted(self, whole: Map) -> int:
         """Tokens of a text with this map."""
-        state, tokens = self.over(self.between, whole.head)
-        tokens += self.rest(state)
-        return tokens if whole.tail is None else tokens + whole.tokens + self.rest(self.state(whole.tail))
+        whole = self.begun(whole)
+        return whole.tokens + self.rest(self.state(whole.tail))
 
 
 _MAP = [T.StructField("head", T.StringType()), T.StructField("tokens", T.LongType()), T.StructField("tail", T.ArrayType(T.IntegerType()))]
@@ -359,60 +363,72 @@ def with_token_counts(docs: DataFrame, tokenizer_file: str, chunk: int = CHUNK,
     n = F.coalesce("n", F.lit(0))
     chunks = chunks.select("key", F.floor(n / block).cast("int").alias("block"), n.alias("n"), F.coalesce("chunk", F.lit("")).alias("chunk"), F.when(n == 0, F.col("row")).alias("row"))
 
-    def batch_of(keys: dict, maps: list[Map], rows) -> pa.RecordBatch:
-        columns = {**keys, **{f: pa.array([None if m is None else getattr(m, f) for m in maps], _TYPES[f]) for f in ("head", "tokens", "tail")}, "row": rows}
+    def batch_of(keys: dict, maps: list[Map], row) -> pa.RecordBatch:
+        columns = {**keys, **{f: pa.array([getattr(m, f) for m in maps], _TYPES[f]) for f in Map._fields}, "row": row}
         return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
+    def read(batch: pa.RecordBatch) -> Iterator[Map]:
+        for head, tokens, tail in zip(*[batch.column(f).to_pylist() for f in Map._fields], strict=True):
+            yield Map(head, tokens, None if tail is None else tuple(tail))
+
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Machine(tokenizer)
         for batch in batches:
+            # fewer than no tokens: a chunk that is still to be mapped
             maps = [machine.map_of(c) if b == 0 else Map(c, -1, None) for c, b in zip(batch.column("chunk").to_pylist(), batch.column("block").to_pylist(), strict=True)]
             yield batch_of({c: batch.column(c) for c in ("key", "block", "n")}, maps, batch.column("row"))
 
-    def groups(batches: Iterator[pa.RecordBatch], machine: Machine, by: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-        """One row per run of equal keys in sorted rows: its maps joined, and the row of its first."""
-        now, whole, held = None, None, None
-        out: list[tuple] = []
+    def reduce_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A map for each run of equal (key, block), with the row of its first chunk and the tokens if the text ends there."""
+        machine = Machine(tokenizer)
 
-        def full() -> pa.RecordBatch:
-            keys = {c: pa.array([o[0][k] for o in out], pa.int64() if c == "key" else pa.int32()) for k, c in enumerate(("key", "block"))}
-            rows = pa.chunked_array([o[2] for o in out]).combine_chunks()
-            return batch_of(keys, [o[1] for o in out], rows)
+        def full(done: list[tuple]) -> pa.RecordBatch:
+            maps = [machine.begun(whole) if block == 0 else whole for _, block, whole, _ in done]
+            rests = [None if m.tail is None else machine.rest(machine.state(m.tail)) for m in maps]
+            keys = {"key": pa.array([d[0] for d in done], pa.int64()), "block": pa.array([d[1] for d in done], pa.int32()), "rest": pa.array(rests, pa.int64())}
+            return batch_of(keys, maps, pa.chunked_array([d[3] for d in done]).combine_chunks())
 
+        done: list[tuple] = []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("key", "block", "head", "tokens", "tail")]
-            for i, (key, at, head, tokens, tail) in enumerate(zip(*columns, strict=True)):
-                # a map with fewer than no tokens is a chunk that is still to be mapped
-                fresh = machine.map_of(head) if tokens < 0 else Map(head, tokens, None if tail is None else tuple(tail))
-                name = (key, at) if "block" in by else (key,)
-                if name == now:
-                    whole = machine.joined(whole, fresh)
+            for i, (key, block, fresh) in enumerate(zip(batch.column("key").to_pylist(), batch.column("block").to_pylist(), read(batch), strict=True)):
+                fresh = machine.map_of(fresh.head) if fresh.tokens < 0 else fresh
+                if done and done[-1][:2] == (key, block):
+                    done[-1] = (key, block, machine.joined(done[-1][2], fresh), done[-1][3])
                     continue
-                if now is not None:
-                    out.append((now, whole, held))
-                now, whole, held = (key, at) if "block" in by else (key,), fresh, batch.column("row").slice(i, 1)
-                if len(out) >= LOT:
-                    yield full()
-                    out = []
-        if now is not None:
-            out.append((now, whole, held))
-            yield full()
-
-    def reduce_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from groups(batches, Machine(tokenizer), ("key", "block"))
+                if len(done) >= LOT:
+                    yield full(done)
+                    done = []
+                done.append((key, block, fresh, batch.column("row").slice(i, 1)))
+        if done:
+            yield full(done)
 
     def reduce_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Machine(tokenizer)
-        for batch in groups(batches, machine, ("key",)):
-            maps = zip(*[batch.column(c).to_pylist() for c in ("head", "tokens", "tail")], strict=True)
-            counts = [machine.counted(Map(head, tokens, None if tail is None else tuple(tail))) for head, tokens, tail in maps]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(counts, pa.int64())], ["row", "n_tokens"])
+        """The counts of each run of equal keys; a document of one block has its count already."""
+        machine = None
+
+        def full(done: list[list]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.chunked_array([d[3] for d in done]).combine_chunks(), pa.array([d[1].tokens + d[2] for d in done], pa.int64())], ["row", "n_tokens"])
+
+        done: list[list] = []
+        for batch in batches:
+            for i, (key, fresh, rest) in enumerate(zip(batch.column("key").to_pylist(), read(batch), batch.column("rest").to_pylist(), strict=True)):
+                if done and done[-1][0] == key:
+                    machine = machine or Machine(tokenizer)
+                    done[-1][1] = machine.joined(done[-1][1], fresh)
+                    done[-1][2] = machine.rest(machine.state(done[-1][1].tail))
+                    continue
+                if len(done) >= LOT:
+                    yield full(done)
+                    done = []
+                done.append([key, fresh, rest, batch.column("row").slice(i, 1)])
+        if done:
+            yield full(done)
 
     key = [T.StructField("key", T.LongType()), T.StructField("block", T.IntegerType())]
     held = T.StructField("row", row)
     # numbers of partitions that are named stay: rows are few bytes and, in long texts, much work
     maps = chunks.mapInArrow(measure, T.StructType([*key, T.StructField("n", T.IntegerType()), *_MAP, held]))
-    blocks = maps.repartition(parts, "key", "block").sortWithinPartitions("key", "block", "n").mapInArrow(reduce_blocks, T.StructType([*key, *_MAP, held]))
+    blocks = maps.repartition(parts, "key", "block").sortWithinPartitions("key", "block", "n").mapInArrow(reduce_blocks, T.StructType([*key, T.StructField("rest", T.LongType()), *_MAP, held]))
     whole = blocks.repartition(parts, "key").sortWithinPartitions("key", "block").mapInArrow(reduce_documents, T.StructType([held, T.StructField("n_tokens", T.LongType())]))
     return whole.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], "n_tokens")
 
