@@ -17,6 +17,8 @@ after the exchange; each block's maps are reduced in a task of its own, then the
 from __future__ import annotations
 
 import json
+import sys
+import types
 import unicodedata
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -37,6 +39,8 @@ BLOCK = 256
 STATES = 100_000
 #: Rows handed on at once.
 LOT = 4096
+#: Tokens below a trie node up to which items are told apart by what may follow instead of by their last token.
+NARROW = 32
 #: Longest special token; a chunk never ends so close behind a "<".
 SPECIAL = 16
 
@@ -88,6 +92,17 @@ class Vocabulary:
                 node = self.next[node, s]
             self.token[node] = n
         self.fits: dict[tuple[int, int], bool] = {}
+        #: node -> tokens below it, for nodes with at most ``NARROW`` of them
+        self.below: dict[int, list[int]] = {}
+        parents = {child: node for (node, _), child in self.next.items()}
+        for node, token in enumerate(self.token):
+            if token is not None:
+                up = parents[node]
+                while up and len(self.below.setdefault(up, [])) <= NARROW:
+                    self.below[up].append(token)
+                    up = parents[up]
+        self.stand: dict[tuple[int, int], int | None] = {}
+        self.like: dict[tuple[int, ...], int] = {}
 
     def merged(self, ids: list[int]) -> list[int]:
         """The ids after all merges, the first rule first and the leftmost pair first."""
@@ -127,6 +142,22 @@ class Vocabulary:
                 if met is not None and met[0] <= b[0]:
                     return False
 
+    def forget(self) -> None:
+        """Lets go of what is computed when needed."""
+        self.fits, self.stand, self.like = {}, {}, {}
+
+    def stands(self, node: int, last: int) -> int | None:
+        """A last token that stands for ``last`` in items at ``node``, because the same tokens below it may follow; None if none may."""
+        found = self.stand.get((node, last), -2)
+        if found == -2:
+            below = self.below[node]
+            found = last
+            if len(below) <= NARROW:
+                follow = [t for t in below if self.fit(last, t)]
+                found = self.like.setdefault((node, *follow), last) if follow else None
+            self.stand[node, last] = found
+        return found
+
     def fit(self, last: int, token: int) -> bool:
         """Whether ``token`` may follow ``last`` (-1: begin a word)."""
         found = self.fits.get((last, token))
@@ -207,7 +238,9 @@ class Machine:
                 if node is None:
                     continue
                 if self.vocabulary.inner[node]:
-                    items.append((node, key[k + 1], key[k + 2]))
+                    last_of = self.vocabulary.stands(node, key[k + 1])
+                    if last_of is not None:
+                        items.append((node, last_of, key[k + 2]))
                 token = self.vocabulary.token[node]
                 if last is None and token is not None and self.vocabulary.fit(key[k + 1], token):
                     last, count = token, key[k + 2] + 1
@@ -302,6 +335,7 @@ class Machine:
     def map_of(self, chunk: str) -> Map:
         if len(self.states) > STATES:
             self.states = {}
+            self.vocabulary.forget()
             self.between = self.state((BETWEEN,))
         head, tokens, state = "", 0, None
         for part in self._parts(chunk):
@@ -339,6 +373,17 @@ class Machine:
         return whole.tokens + self.rest(self.state(whole.tail))
 
 
+def machine_of(tokenizer: str) -> Machine:
+    """The machine of a tokenizer; a worker process keeps the last one, so that a task goes on with what earlier ones compiled.
+
+    Tasks get their functions by value, so the place to keep it is a module of the process, not one of this package.
+    """
+    kept = sys.modules.setdefault("kept_token_machine", types.ModuleType("kept_token_machine"))
+    if getattr(kept, "tokenizer", None) != tokenizer:
+        kept.machine, kept.tokenizer = Machine(tokenizer), tokenizer
+    return kept.machine
+
+
 _MAP = [T.StructField("head", T.StringType()), T.StructField("tokens", T.LongType()), T.StructField("tail", T.ArrayType(T.IntegerType()))]
 _TYPES = {"head": pa.string(), "tokens": pa.int64(), "tail": pa.list_(pa.int32())}
 
@@ -372,7 +417,7 @@ def with_token_counts(docs: DataFrame, tokenizer_file: str, chunk: int = CHUNK,
             yield Map(head, tokens, None if tail is None else tuple(tail))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Machine(tokenizer)
+        machine = machine_of(tokenizer)
         for batch in batches:
             # fewer than no tokens: a chunk that is still to be mapped
             maps = [machine.map_of(c) if b == 0 else Map(c, -1, None) for c, b in zip(batch.column("chunk").to_pylist(), batch.column("block").to_pylist(), strict=True)]
@@ -380,7 +425,7 @@ def with_token_counts(docs: DataFrame, tokenizer_file: str, chunk: int = CHUNK,
 
     def reduce_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A map for each run of equal (key, block), with the row of its first chunk and the tokens if the text ends there."""
-        machine = Machine(tokenizer)
+        machine = machine_of(tokenizer)
 
         def full(done: list[tuple]) -> pa.RecordBatch:
             maps = [machine.begun(whole) if block == 0 else whole for _, block, whole, _ in done]
@@ -413,7 +458,7 @@ def with_token_counts(docs: DataFrame, tokenizer_file: str, chunk: int = CHUNK,
         for batch in batches:
             for i, (key, fresh, rest) in enumerate(zip(batch.column("key").to_pylist(), read(batch), batch.column("rest").to_pylist(), strict=True)):
                 if done and done[-1][0] == key:
-                    machine = machine or Machine(tokenizer)
+                    machine = machine or machine_of(tokenizer)
                     done[-1][1] = machine.joined(done[-1][1], fresh)
                     done[-1][2] = machine.rest(machine.state(done[-1][1].tail))
                     continue
