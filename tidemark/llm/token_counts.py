@@ -36,11 +36,11 @@ CHUNK = 1024
 #: Chunks of a block.
 BLOCK = 256
 #: States kept by a task; beyond, they are compiled anew.
-STATES = 100_000
+STATES = 200_000
 #: Rows handed on at once.
 LOT = 4096
 #: Tokens below a trie node up to which items are told apart by what may follow instead of by their last token.
-NARROW = 32
+NARROW = 16
 #: Longest special token; a chunk never ends so close behind a "<".
 SPECIAL = 16
 
@@ -153,7 +153,8 @@ class Vocabulary:
             below = self.below[node]
             found = last
             if len(below) <= NARROW:
-                follow = [t for t in below if self.fit(last, t)]
+                # asked once for each node, so only what is true of a token alone is kept
+                follow = [t for t in below if self.fit(-1, t) and (last < 0 or self._apart(last, t))]
                 found = self.like.setdefault((node, *follow), last) if follow else None
             self.stand[node, last] = found
         return found
