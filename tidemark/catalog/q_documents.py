@@ -9,8 +9,10 @@ from tidemark.catalog.q_periods import QUARTERS_SQL
 from tidemark.catalog.registry import query
 from tidemark.catalog.views import Views
 from tidemark.operators import company_metric as CM
+from tidemark.operators import completion as CO
 from tidemark.operators import extract as X
-from tidemark.session import cut_lineage
+from tidemark.operators import filings as FL
+from tidemark.session import cut_lineage, shared_folder
 
 
 c = F.col
@@ -82,9 +84,9 @@ def e03(v: Views):
 
 
 def recon(v: Views):
-    docs = pages(v)
     # parsed once: the stage table feeds every branch of the extraction
-    return X.recon_facts(cut_lineage(X.explode_tables(docs)), X.table_contexts(docs), filing_dates(v))
+    parsed = cut_lineage(X.parsed_tables(pages(v)))
+    return X.recon_facts(X.cells_of(parsed), X.contexts_of(parsed), filing_dates(v))
 
 
 _FACTS = PAGE_SQL + """,
@@ -112,8 +114,8 @@ st AS (SELECT doc_id, unnest(['revenue', 'costOfRevenue']) AS metric, unnest([v1
 
 
 def statements(v: Views):
-    docs = pages(v)
-    return X.statement_facts(cut_lineage(X.explode_tables(docs)), X.table_contexts(docs), filing_dates(v))
+    parsed = cut_lineage(X.parsed_tables(pages(v)))
+    return X.statement_facts(X.cells_of(parsed), X.contexts_of(parsed), filing_dates(v))
 
 
 @query("E05_statement_facts", f"WITH {_STATEMENTS} SELECT * FROM st")
@@ -217,13 +219,33 @@ def e13(v: Views):
     return X.evidence_documents(calls, linked, filings.select("ticker", "accession", "form", "filing_date"), documents, attached)
 
 
+def filed_pages(v: Views):
+    """The document of every filing: a page with tagged numbers, a fourth of them instance documents; a segment has half the number."""
+    start, end, price = F.trunc("report_date", "quarter"), c("report_date"), F.format_number("o_totalprice", 2)
+    bounds = F.concat(F.lit("<xbrli:period><xbrli:startDate>"), start.cast("string"), F.lit("</xbrli:startDate><xbrli:endDate>"), end.cast("string"), F.lit("</xbrli:endDate></xbrli:period>"))
+    context = F.concat(F.lit('<xbrli:context id="c1">'), bounds, F.lit('</xbrli:context><xbrli:context id="c2"><xbrli:segment>Products</xbrli:segment>'), bounds,
+                       F.lit('</xbrli:context><xbrli:unit id="u1"><xbrli:measure>iso4217:USD</xbrli:measure></xbrli:unit>'))
+    half = F.format_number(c("o_totalprice") / 2, 2)
+    tag = lambda number, of: F.concat(F.lit(f'<p><ix:nonFraction name="us-gaap:Revenues" contextRef="{of}" unitRef="u1">'), number, F.lit("</ix:nonFraction></p>"))
+    element = lambda number, of: F.concat(F.lit(f'<us-gaap:Revenues contextRef="{of}" unitRef="u1">'), number, F.lit("</us-gaap:Revenues>"))
+    inline = F.concat(F.lit("<html>"), context, tag(half, "c2"), tag(price, "c1"), F.lit("</html>"))
+    instance = F.concat(F.lit("<xbrl>"), context, element(half, "c2"), element(price, "c1"), F.lit("</xbrl>"))
+    other = c("o_orderkey") % 4 == 3
+    rows = v.filings().join(v.table("orders").select("o_orderkey", "o_totalprice"), "o_orderkey")
+    return rows.select("accession", F.when(other, "xml").otherwise("html").alias("kind"), F.when(other, instance).otherwise(inline).alias("body"))
+
+
 @query("E14_complete_gaps", _NEAR + f""", ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY gap_id ORDER BY score, filing_date DESC, accession DESC) AS pick FROM (
 SELECT gap_id, accession, filing_date, abs(report_date - gap_end) - CASE WHEN form IN ('10-K', '10-K/A', '10-Q', '10-Q/A') THEN 80 ELSE 0 END - CASE WHEN form IN ('10-K', '10-K/A') THEN 35 ELSE 0 END - CASE WHEN suffix(form, '/A') THEN 5 ELSE 0 END AS score FROM near)) WHERE pick <= 6)
 SELECT r.gap_id, r.accession, 'revenue' AS metric, o.o_totalprice AS value FROM ranked r JOIN v_filings f USING (accession) JOIN orders o ON f.o_orderkey = o.o_orderkey WHERE r.filing_date <= DATE '1999-12-31' AND f.report_date <= DATE '1999-12-31'""")
 def e14(v: Views):
-    extracted = v.filings().join(v.table("orders").select("o_orderkey", c("o_totalprice").alias("value")), "o_orderkey").select(
-        "accession", F.lit("revenue").alias("metric"), c("report_date").alias("end_date"), "value")
-    return X.complete_gaps(gaps(v), v.filings(), extracted, F.lit(False), "1999-12-31").select("gap_id", "accession", "metric", "value")
+    path = shared_folder(v.spark, "filed-documents")
+    CO.write_documents(filed_pages(v), path)
+    asked = gaps(v).select("ticker", F.lit("revenue").alias("metric"), "purpose", "gap_start", "gap_end", "gap_id")
+    filings = v.filings().withColumns({"fye_month": F.lit(12), "fye_day": F.lit(31)})
+    chosen = cut_lineage(FL.rank_targeted_filings(filings, asked, F.lit(False)).select("gap_id", "accession"))
+    facts = CO.extracted_records(CO.chosen_documents(v.spark, path, chosen), filings, "1999-12-31", ["revenue"])
+    return chosen.join(facts, "accession").select("gap_id", "accession", "metric", "value")
 
 
 def eligible_rows(v: Views):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import re
 
 from pyspark.sql import functions as F
 
@@ -12,10 +12,11 @@ from tidemark.catalog.q_periods import QUARTERS_SQL
 from tidemark.catalog.q_rollups import AS_OF, CY_SQL, DIRECT_SQL, FOUR_SQL, RESOLVE_SQL, YEARS, _bridge
 from tidemark.catalog.registry import query
 from tidemark.catalog.views import Views
+from tidemark.operators import completion as C
 from tidemark.operators.keyed import top_n_per_key
 from tidemark.plans import commentary as PC
 from tidemark.plans import history as PH
-from tidemark.session import checkpoint_dir
+from tidemark.session import shared_folder
 from tidemark.sources import sinks as SK
 from tidemark.streaming import jobs as J
 
@@ -27,6 +28,53 @@ def v06(v: Views):
     return PH.canonical_history(v.obs(), v.provider(), YEARS, AS_OF)
 
 
+#: Concepts that the pages of the test filings tag.
+CONCEPTS = {"revenue": "Revenues", "costOfRevenue": "CostOfRevenue", "operatingCashFlow": "NetCashProvidedByUsedInOperatingActivities",
+            "capitalExpenditures": "PaymentsToAcquirePropertyPlantAndEquipment", "ebit": "OperatingIncomeLoss"}
+
+
+def tagged_filings(v: Views):
+    """Filings of the observations, and their pages, in which every number is tagged."""
+    rows = v.obs().join(v.issuers().select("ticker", "fye_month"), "ticker")
+    bounds = [c("start_date"), c("end_date")]
+    filings = rows.groupBy("ticker", "accession", "form", c("filed").alias("filing_date"), "fye_month").agg(F.max("end_date").alias("report_date")).withColumn(
+        "fye_day", F.dayofmonth(F.last_day(F.make_date(F.lit(2001), c("fye_month"), F.lit(1)))))
+    concept = F.lit(None).cast("string")
+    for metric, name in CONCEPTS.items():
+        concept = F.when(c("metric") == metric, name).otherwise(concept)
+    tag = F.concat(F.lit('<p><ix:nonFraction name="us-gaap:'), concept, F.lit('" contextRef="c1" unitRef="u1">'), F.format_number("value", 0), F.lit("</ix:nonFraction></p>"))
+    pages = rows.groupBy("accession", *bounds).agg(F.array_join(F.sort_array(F.collect_list(tag)), "").alias("tags"))
+    body = F.concat(F.lit('<html><xbrli:context id="c1"><xbrli:period><xbrli:startDate>'), c("start_date").cast("string"), F.lit("</xbrli:startDate><xbrli:endDate>"), c("end_date").cast("string"),
+                    F.lit('</xbrli:endDate></xbrli:period></xbrli:context><xbrli:unit id="u1"><xbrli:measure>iso4217:USD</xbrli:measure></xbrli:unit>'), "tags", F.lit("</html>"))
+    return filings, pages.select("accession", F.lit("html").alias("kind"), body.alias("body"))
+
+
+def _history_sql(held: str) -> str:
+    """Yearly and trailing values of the observations but those ``held`` back, with gross profit and free cash flow."""
+    base = re.sub(r"\b(win|sq)\b", r"\g<1>0", QUARTERS_SQL).replace("FROM v_obs", f"FROM (SELECT o.* FROM v_obs o JOIN v_issuers i USING (ticker) WHERE NOT ({held}))")
+    derived = lambda t, more: f"""SELECT ticker, metric, period_type, start_date, end_date, fiscal_year, fiscal_quarter, value, source_id FROM {t}
+ UNION ALL SELECT a.ticker, CASE a.metric WHEN 'revenue' THEN 'grossProfit' ELSE 'freeCashFlow' END, a.period_type, a.start_date, a.end_date, a.fiscal_year, a.fiscal_quarter, a.value - abs(b.value), a.source_id
+ FROM {t} a JOIN {t} b USING (ticker, start_date, end_date, period_type) WHERE a.metric = 'revenue' AND b.metric = 'costOfRevenue' OR a.metric = 'operatingCashFlow' AND b.metric = 'capitalExpenditures'"""
+    return f"""(WITH {base}, sq1 AS (SELECT *, 'STANDALONE_QUARTER' AS period_type FROM sq0), win AS ({derived('win0', '')}), sq AS ({derived('sq1', '')}),
+{FOUR_SQL}, {DIRECT_SQL}, {_bridge('')}, {CY_SQL}, kept AS (SELECT * FROM bridge WHERE ltm_end <= DATE '{AS_OF}'), {RESOLVE_SQL.replace('FROM bridge)', 'FROM kept)')}
+SELECT ticker, metric, year || 'A' AS period, value FROM cy UNION ALL SELECT ticker, metric, 'LTM', value FROM resolved)"""
+
+
+#: Observations that are nowhere but in documents.
+HELD = "i.region_key = 3 AND o.fiscal_year = 1997 AND o.metric <> 'adjustedEbitda'"
+
+
+@query("V06_completed_history", f"""
+SELECT f.ticker, f.metric, f.period, f.value, f.value IS NOT NULL AND p.ticker IS NOT NULL AND p.value IS NULL AS completed FROM {_history_sql('false')} f LEFT JOIN {_history_sql(HELD)} p USING (ticker, metric, period)""")
+def v06_completed(v: Views):
+    path = folder(v, "documents")
+    filings, documents = tagged_filings(v)
+    C.write_documents(documents, path)
+    filed = v.obs().alias("o").join(v.issuers().alias("i"), "ticker").where(f"NOT ({HELD})").select("o.*")
+    out = PH.completed_history(filed, None, YEARS, AS_OF, filings, path, F.lit(False))
+    return out.select("ticker", "metric", "period", "value", "completed")
+
+
 @query("V17_revenue_history", f"""
 WITH {QUARTERS_SQL}, {FOUR_SQL}, {DIRECT_SQL}, {_bridge('')}, {CY_SQL}, kept AS (SELECT * FROM bridge WHERE ltm_end <= DATE '{AS_OF}'), {RESOLVE_SQL.replace('FROM bridge)', 'FROM kept)')}
 SELECT ticker, metric, year || 'A' AS period, value FROM cy WHERE metric = 'revenue' UNION ALL SELECT ticker, metric, 'LTM', value FROM resolved WHERE metric = 'revenue'""")
@@ -63,7 +111,7 @@ def v12(v: Views):
 
 def folder(v: Views, name: str) -> str:
     """New shared folder of one run."""
-    return f"{checkpoint_dir(v.spark)}/{name}-{uuid.uuid4().hex}"
+    return shared_folder(v.spark, name)
 
 
 def event_stream(v: Views):

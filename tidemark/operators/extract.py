@@ -1,6 +1,6 @@
 """Facts out of filing documents.
 
-HTML tables are the one place that needs a parser: ``explode_tables`` and ``table_contexts`` run the standard
+HTML tables are the one place that needs a parser: ``parsed_tables`` runs the standard
 library parser over Arrow batches, document by document, inside Spark tasks. Everything after that is columns.
 Contexts, units and tagged numbers of a document are matched inside its row, without a shuffle.
 """
@@ -10,12 +10,13 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 from html.parser import HTMLParser
-from itertools import islice
+from itertools import chain, islice
 
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import dates as D
 from tidemark.functions import numbers as N
@@ -26,8 +27,7 @@ from tidemark.operators.keyed import once
 # the parser travels inside the task, so executors need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-CELL_SCHEMA = "doc_id bigint, table_no int, row int, col int, origin_col int, text string, is_header boolean, is_origin boolean"
-CONTEXT_SCHEMA = "doc_id bigint, table_no int, caption string, context string"
+PARSED = "table_no int, row int, col int, origin_col int, text string, is_header boolean, is_origin boolean, context string"
 CONTEXT_CHARS = 2000
 
 
@@ -112,30 +112,41 @@ def _grid(table: dict) -> Iterator[tuple]:
             c += width
 
 
-def explode_tables(documents: DataFrame) -> DataFrame:
-    """(doc_id, html) to one row per table position."""
+def parsed_tables(documents: DataFrame) -> DataFrame:
+    """(doc_id, html) to one row per table position, and a row -1 per table with its caption as text and what stands before it.
+
+    ``cells_of`` and ``contexts_of`` take either part; a caller that needs both writes this table once.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["doc_id", "table_no", "row", "col", "origin_col", "text", "is_header", "is_origin"]
+        names = ["doc_id", "table_no", "row", "col", "origin_col", "text", "is_header", "is_origin", "context"]
         for batch in batches:
-            rows = ((doc, t, *cell) for doc, html in zip(batch["doc_id"], batch["html"]) for t, table in enumerate(_parse(html)) for cell in _grid(table))
+            rows = (
+                (doc, t, *cell) for doc, html in zip(batch["doc_id"], batch["html"]) for t, table in enumerate(_parse(html))
+                for cell in chain([(-1, -1, -1, " ".join("".join(table["caption"]).split()), False, False, table["context"])], ((*x, None) for x in _grid(table))))
             while part := list(islice(rows, 20_000)):
                 yield pd.DataFrame(part, columns=names)
 
-    return documents.select("doc_id", "html").mapInPandas(run, CELL_SCHEMA)
+    schema = T.StructType([documents.schema["doc_id"], *T.StructType.fromDDL(PARSED)])
+    return documents.select("doc_id", "html").mapInPandas(run, schema)
 
 
-def table_contexts(documents: DataFrame) -> DataFrame:
-    """(doc_id, html) to caption and preceding text of every table."""
+def cells_of(parsed: DataFrame) -> DataFrame:
+    return parsed.where("row >= 0").drop("context")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = ((doc, t, " ".join("".join(x["caption"]).split()), x["context"]) for doc, html in zip(batch["doc_id"], batch["html"])
-                    for t, x in enumerate(_parse(html)))
-            while part := list(islice(rows, 20_000)):
-                yield pd.DataFrame(part, columns=["doc_id", "table_no", "caption", "context"])
 
-    return documents.select("doc_id", "html").mapInPandas(run, CONTEXT_SCHEMA)
+def contexts_of(parsed: DataFrame) -> DataFrame:
+    return parsed.where("row = -1").select("doc_id", "table_no", F.col("text").alias("caption"), "context")
+
+
+def explode_tables(documents: DataFrame) -> DataFrame:
+    """(doc_id, html) to one row per table position."""
+    return cells_of(parsed_tables(documents))
+
+
+def table_contexts(documents: DataFrame) -> DataFrame:
+    """(doc_id, html) to caption and preceding text of every table."""
+    return contexts_of(parsed_tables(documents))
 
 
 def _duration(text: Column) -> Column:
@@ -442,11 +453,3 @@ def evidence_documents(calls: DataFrame, linked: DataFrame, filings: DataFrame,
     once = every.groupBy("call_id", "url").agg(F.min("source").alias("source"))
     text = documents.select("url", (F.left("text", F.lit(max_chars)) if max_chars else F.col("text")).alias("text"))
     return once.join(text, "url", "left")
-
-
-def complete_gaps(gaps: DataFrame, filings: DataFrame, extracted: DataFrame, evidence: Column, as_of: str, k: int = 6) -> DataFrame:
-    """Facts known at the date from the filings chosen for each gap."""
-    from tidemark.operators.filings import rank_targeted_filings
-
-    chosen = rank_targeted_filings(filings, gaps, evidence, k).select("gap_id", "accession", "filing_date")
-    return chosen.join(extracted, "accession").where(FA.available_as_of(F.col("filing_date"), F.col("end_date"), as_of))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +49,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), f"tidemark-checkpoints-{os.getpid()}")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of one run below the shared one."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors and is computed once for all branches."""
     spark = df.sparkSession
