@@ -10,6 +10,7 @@ from tidemark.catalog.registry import query
 from tidemark.catalog.views import Views
 from tidemark.functions import strings as S
 from tidemark.operators import extract as X
+from tidemark.operators import question_index as I
 from tidemark.operators import rank as R
 from tidemark.sources.readers import search_results
 
@@ -78,6 +79,32 @@ def x25(v: Views):
     return R.thin_context(context(v))
 
 
+def questions(v: Views):
+    """The first words of every conversation as a question."""
+    first = v.table("conversations").where("turn = 0").select("conv_id", "text")
+    long_word = F.nullif(F.regexp_extract(F.lower("text"), "[a-z0-9.+-]{5,}", 0), F.lit(""))
+    n = c("conv_id")
+    theme = F.when(n % 4 == 0, "en").when(n % 4 == 1, "de").when(n % 4 == 2, "fr").otherwise("es")
+    return first.select(n.alias("question_id"), "text", F.concat(F.lit("SRC"), (n % 7).cast("string")).alias("ticker"), F.coalesce(long_word, F.lit("none")).alias("company"),
+                        theme.alias("theme"), (n % 3 + 1).alias("layer"))
+
+
+_QS = f"""q0 AS (SELECT conv_id AS question_id, text, 'SRC' || conv_id % 7 AS qt, coalesce(nullif(regexp_extract(lower(text), '[a-z0-9.+-]{{5,}}', 0), ''), 'none') AS company, ['en', 'de', 'fr', 'es'][conv_id % 4 + 1] AS qm, conv_id % 3 + 1 AS layer FROM conversations WHERE turn = 0),
+q1 AS (SELECT *, text || ' ' || qt || ' ' || company || ' ' || qm || ' layer ' || layer AS words FROM q0), q2 AS (SELECT *, {_TOK.format(x='words')} AS w0 FROM q1),
+q3 AS (SELECT *, CASE WHEN list_has_any(w0, {GROUPS[0]}) THEN list_distinct(w0 || {GROUPS[0]}) ELSE w0 END AS w1 FROM q2), qs AS (SELECT *, CASE WHEN list_has_any(w1, {GROUPS[1]}) THEN list_distinct(w1 || {GROUPS[1]}) ELSE w1 END AS w FROM q3),
+ct AS (SELECT *, {_TOK.format(x='content')} AS t, {_TOK.format(x='heading')} AS h, lower(content) AS low FROM ch),
+sc AS (SELECT question_id, chunk_id, meaningful, CAST(base + CASE WHEN ticker = qt THEN 10 ELSE 0 END + CASE WHEN contains(low, company) THEN 8 ELSE 0 END + CASE WHEN theme = qm OR contains(low, qm) THEN 4 ELSE 0 END + CASE WHEN contains(low, 'layer ' || layer) THEN 5 ELSE 0 END
+ + 5 * len(list_intersect(w, h)) + 2 * len(list_intersect(w, t)) + len(list_filter(list_intersect(w, t), lambda x: length(x) >= 6)) AS INTEGER) AS score FROM qs, ct),
+tops AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS place FROM sc QUALIFY place <= 10)"""
+
+
+@query("V14_context_for_questions", f"""
+WITH {_CH}, {_QS} SELECT question_id, chunk_id, score, CAST(place AS INTEGER) AS place, count(*) FILTER (meaningful) OVER (PARTITION BY question_id) AS meaningful_count, count(*) FILTER (meaningful) OVER (PARTITION BY question_id) < 2 AS thin FROM tops""")
+def v14_many(v: Views):
+    ranked = I.with_thinness(I.context_for_questions(chunks(v), questions(v), groups=GROUPS))
+    return ranked.select("question_id", "chunk_id", "score", "place", "meaningful_count", "thin")
+
+
 def results(v: Views):
     """One payload of results per page: the page itself, then the same address with a slash."""
     base = v.table("pages").withColumn("u", F.regexp_replace(F.regexp_extract("url", r"^[^?#]*", 0), "/$", ""))
