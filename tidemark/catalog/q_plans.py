@@ -3,21 +3,26 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import functions as F
 
 from tidemark.catalog import q_text as QT
 from tidemark.catalog.q_facts import with_metrics
 from tidemark.catalog.q_periods import QUARTERS_SQL
+from tidemark.catalog.q_prices import price_sets, quote_sets
 from tidemark.catalog.q_rollups import AS_OF, CY_SQL, DIRECT_SQL, FOUR_SQL, RESOLVE_SQL, YEARS, _bridge
 from tidemark.catalog.registry import query
 from tidemark.catalog.views import Views
 from tidemark.operators import completion as C
+from tidemark.operators import prices as PR
 from tidemark.operators.keyed import top_n_per_key
 from tidemark.plans import commentary as PC
 from tidemark.plans import history as PH
 from tidemark.session import shared_folder
+from tidemark.sources import keyed_store as KS
 from tidemark.sources import sinks as SK
+from tidemark.sources import snapshots as SN
 from tidemark.streaming import jobs as J
 
 c = F.col
@@ -171,6 +176,60 @@ def s13(v: Views):
     return SK.load_snapshots(v.spark, path, v.issuers()).select("ticker", "engine_version", c("updated_at").cast("timestamp_ntz").alias("updated_at"), "revenue")
 
 
+_CELLS_OF = "SELECT ticker, min(region_key) AS region_key, max(value) FILTER (metric = 'revenue' AND year = 1997) AS revenue_1997 FROM v_cells WHERE metric IN ('revenue', 'ebit') GROUP BY ticker"
+
+
+@query("S13_snapshot_store", f"""
+WITH p AS ({_CELLS_OF}) SELECT ticker, 'v2' AS engine_version, region_key <> 1 AS migrated, revenue_1997, CASE WHEN region_key = 2 THEN 'INCOMPATIBLE' WHEN region_key = 1 THEN 'READY' ELSE 'STALE' END AS state,
+ CASE WHEN region_key = 2 THEN 'ACTUAL_YEAR_SET_MISMATCH' ELSE '' END AS reasons, CAST(NULL AS DOUBLE) AS price, region_key = 1 AS current_in_store_before, true AS current_in_store_after FROM p""")
+def s13_store(v: Views):
+    path = folder(v, "snapshot-store")
+    rows = v.cells().where("metric IN ('revenue', 'ebit')").groupBy("ticker", "metric").agg(F.min("region_key").alias("region_key"), F.map_from_entries(F.collect_list(F.struct("period", "value"))).alias("periods"))
+    issuers = rows.groupBy("ticker").agg(F.min("region_key").alias("region_key"), F.map_from_entries(F.collect_list(F.struct("metric", "periods"))).alias("metrics"))
+    at = lambda text: F.lit(text).cast("timestamp")
+    years = F.when(c("region_key") == 2, F.array(F.lit(1996))).otherwise(F.array(*[F.lit(y) for y in YEARS]))
+    base = issuers.withColumn("actual_years", years)
+    # the earlier schema has its metrics at the top, the current one below a name; market fields are dropped from both
+    inner = F.to_json(F.struct(c("metrics").alias("metrics"), F.lit(7).alias("price")))
+    bare = F.to_json("metrics")
+    old = base.select("ticker", F.lit("v1").alias("engine_version"), "actual_years", F.parse_json(bare).alias("snapshot"), at("2001-05-01 00:00:00").alias("updated_at"))
+    new = base.where("region_key = 1").select("ticker", F.lit("v2").alias("engine_version"), "actual_years", F.parse_json(inner).alias("snapshot"), at("2001-06-20 00:00:00").alias("updated_at"))
+    SN.save(old, path)
+    SN.save(new, path)
+    before = KS.read(v.spark, path).select("ticker", (c("engine_version") == "v2").alias("current_in_store_before"))
+    loaded = SN.load(v.spark, path, v.issuers(), YEARS, at("2001-07-01 00:00:00"))
+    after = KS.read(v.spark, path).select("ticker", (c("engine_version") == "v2").alias("current_in_store_after"))
+    shown = loaded.select("ticker", "engine_version", "migrated", SN.metric("revenue", "1997A").alias("revenue_1997"), "state", F.array_join("reasons", ",").alias("reasons"), F.try_variant_get("snapshot", "$.price", "double").alias("price"))
+    return shown.join(before, "ticker").join(after, "ticker")
+
+
+@query("S11_quote_store", """
+WITH n AS (SELECT CAST(user_id AS VARCHAR) AS ticker, value AS price, ts AS fetched_at, event_type IN ('view', 'click') AS early, event_id FROM events),
+a AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY fetched_at DESC, event_id DESC) AS rn FROM n WHERE early), b AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY fetched_at DESC, event_id DESC) AS rn FROM n)
+SELECT 1 AS version, ticker, price, fetched_at FROM a WHERE rn = 1 UNION ALL SELECT 2, ticker, price, fetched_at FROM b WHERE rn = 1""")
+def s11_store(v: Views):
+    path = folder(v, "quotes")
+    store, new = quote_sets(v)
+    versions = [KS.upsert(rows, path, ["ticker"], PR.upsert_quotes) for rows in (store, new)]
+    return reduce(lambda a, b: a.unionByName(b), [KS.read(v.spark, path, n).select(F.lit(n).alias("version"), "ticker", "price", "fetched_at") for n in versions])
+
+
+@query("S12_price_history_store", f"""
+WITH store AS (SELECT ticker, day, close, adj_close, CASE WHEN day >= DATE '2001-10-25' THEN TIMESTAMP '2001-11-05 08:00:00' ELSE TIMESTAMP '2001-11-01 08:00:00' END AS fetched_at FROM v_prices WHERE volume < 40),
+new AS (SELECT ticker, day, CASE WHEN volume <> 41 THEN close + 1 END AS close, adj_close, TIMESTAMP '2001-11-05 12:00:00' AS fetched_at FROM v_prices WHERE day >= DATE '2001-06-01'),
+kept AS (SELECT * FROM new WHERE close IS NOT NULL AND ticker NOT IN (SELECT ticker FROM store WHERE fetched_at >= DATE '2001-11-05')),
+both_ AS (SELECT 1 AS version, * FROM store UNION ALL SELECT 2, * FROM kept UNION ALL SELECT 2, * FROM store s WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.ticker = s.ticker AND k.day = s.day))
+SELECT version, ticker, day, close, adj_close, CAST(fetched_at AS VARCHAR) AS fetched_at FROM both_""")
+def s12_store(v: Views):
+    path = folder(v, "price-history")
+    store, new = price_sets(v)
+    today = F.to_date(F.lit("2001-11-05"))
+    first = KS.upsert(store, path, ["ticker"], lambda _, rows: rows)
+    second = KS.upsert(new, path, ["ticker"], lambda a, b: PR.upsert_price_history(a, b, today))
+    read = lambda number, n: KS.read(v.spark, path, n).select(F.lit(number).alias("version"), "ticker", "day", "close", "adj_close", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss").alias("fetched_at"))
+    return read(1, first).unionByName(read(2, second))
+
+
 @query("S14_write_ledger_snapshot", "SELECT ticker, 1 AS versions, count(*) AS records FROM v_ledger GROUP BY ticker")
 def s14(v: Views):
     path = folder(v, "ledger")

@@ -204,13 +204,19 @@ new AS (SELECT ticker, day, CASE WHEN volume <> 41 THEN close + 1 END AS close,
 kept AS (SELECT * FROM new WHERE close IS NOT NULL AND ticker NOT IN (SELECT ticker FROM store WHERE fetched_at >= DATE '2001-11-05'))
 SELECT * FROM kept UNION ALL SELECT * FROM store s WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.ticker = s.ticker AND k.day = s.day)""")
 def s12(v: Views):
+    store, new = price_sets(v)
+    return P.upsert_price_history(store, new, F.to_date(F.lit("2001-11-05")))
+
+
+def price_sets(v: Views):
+    """Stored history, some of it loaded on the day, and new rows, some without a close."""
     prices = v.prices()
     stamp = lambda text: F.lit(text).cast("timestamp")
     store = prices.where("volume < 40").select("ticker", "day", "close", "adj_close", F.when(c("day") >= F.to_date(F.lit("2001-10-25")),
                                                stamp("2001-11-05 08:00:00")).otherwise(stamp("2001-11-01 08:00:00")).alias("fetched_at"))
     new = prices.where("day >= date'2001-06-01'").select("ticker", "day", F.when(c("volume") != 41, c("close") + 1).alias("close"), "adj_close",
                                                          stamp("2001-11-05 12:00:00").alias("fetched_at"))
-    return P.upsert_price_history(store, new, F.to_date(F.lit("2001-11-05")))
+    return store, new
 
 
 @query("R03_freshness", """

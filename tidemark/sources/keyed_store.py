@@ -98,7 +98,7 @@ def upsert(new: DataFrame, path: str, keys: list[str], merge: Callable[[DataFram
     if not touched and known:
         fs.delete(where, True)
         return known[-1]
-    incoming = spark.read.schema(new.schema).parquet(incoming_path) if touched else new.limit(0)
+    incoming = spark.read.schema(new.schema).parquet(incoming_path).select(*new.columns) if touched else new.limit(0)
     merged = merge(_rows(spark, path, before, touched), incoming).select(*T.StructType.fromJson(before["schema"]).fieldNames())
     bucketed(merged, keys, count).repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/data/{write}")
     where_data, _ = _fs(spark, f"{path}/data/{write}")

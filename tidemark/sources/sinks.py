@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.keyed import top_n_per_key
+from tidemark.sources import keyed_store
 
 
 def save_snapshots(snapshots: DataFrame, path: str) -> None:
@@ -60,32 +61,20 @@ def _bucket(key: str):
     return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
 
-def _audit_versions(spark: SparkSession, path: str) -> list[str]:
-    if not exists(spark, f"{path}/table"):
-        return []
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/table")
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return sorted(s.getPath().toString() for s in fs.listStatus(folder) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
+def read_audit(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The merged audit table, by default its newest version."""
+    return keyed_store.read(spark, f"{path}/table", version)
 
 
-def read_audit(spark: SparkSession, path: str) -> DataFrame:
-    """The merged audit table."""
-    return spark.read.parquet(_audit_versions(spark, path)[-1]).drop("bucket")
-
-
-def write_audit(records: DataFrame, path: str) -> None:
+def write_audit(records: DataFrame, path: str) -> int:
     """JSON and CSV of this run's records; the stored table, in which they replace those of their ticker, metric and period;
-    and a manifest with a content hash per ticker of the run."""
-    spark = records.sparkSession
+    and a manifest with a content hash per ticker of the run. Returns the table's version; a run that ends early leaves the table as it was."""
     records.write.mode("overwrite").json(f"{path}/json")
     export_table(records, f"{path}/csv")
-    versions = _audit_versions(spark, path)
-    merged = records
-    if versions:
-        merged = read_audit(spark, path).join(records.select(*AUDIT_KEY).distinct(), AUDIT_KEY, "left_anti").unionByName(records)
-    merged.withColumn("bucket", _bucket("ticker")).write.partitionBy("bucket").parquet(f"{path}/table/version={len(versions):06d}")
+    replaced = lambda old, new: old.join(new.select(*AUDIT_KEY).distinct(), AUDIT_KEY, "left_anti").unionByName(new)
+    version = keyed_store.upsert(records, f"{path}/table", ["ticker"], replaced)
     group_hash(records, "ticker").write.mode("overwrite").json(f"{path}/manifest")
+    return version
 
 
 def export_table(df: DataFrame, path: str, form: str = "csv") -> None:
