@@ -206,3 +206,45 @@ def v15(v: Views):
     texts = X.readable_text(v.table("pages").select(address.alias("url"), "html"))
     pages = texts.groupBy("url").agg(F.max("text").alias("text"))
     return R.web_context(search_results(results(v)), pages, Q1, REPUTABLE, F.to_date(F.lit(AS_OF))).select("url", "quality", "score", "page_hits")
+
+
+def asked_results(v: Views):
+    """The results of every page, found for one question each."""
+    base = v.table("pages").withColumn("u", F.regexp_replace(F.regexp_extract("url", r"^[^?#]*", 0), "/$", ""))
+    host = F.regexp_replace(F.lower(F.regexp_extract("u", r"^[a-zA-Z]+://([^/?#:]+)", 1)), r"^www\.", "")
+    pos = F.explode(F.array(F.lit(0), F.lit(1))).alias("pos")
+    rows = base.select((c("page_id") % 50).alias("question_id"), F.concat(F.lit("Page "), "u").alias("title"), host.alias("host"), "u", pos)
+    return rows.select("question_id", "pos", "title", "host", F.when(c("pos") == 0, c("u")).otherwise(F.concat("u", F.lit("/"))).alias("url"), F.lit("earnings snippet").alias("snippet"),
+                       F.when(c("pos") == 0, 10.0).otherwise(3.5).alias("score"), F.to_date(F.lit("2024-01-15")).alias("published"))
+
+
+_ASKED = _RES + rf""",
+qw AS (SELECT *, {_TOK.format(x='text')} AS tw FROM q0), ar AS (SELECT DISTINCT page_id % 50 AS question_id, title, u || '/' AS url, 'earnings snippet' AS snippet, regexp_replace(lower(regexp_extract(u, '^[a-zA-Z]+://([^/?#:]+)', 1)), '^www\.', '') AS host FROM pg),
+ax AS (SELECT *, lower(title || ' ' || snippet || ' ' || url) AS hay FROM ar),
+aq AS (SELECT question_id, url, tw, CASE WHEN contains(host, company) AND length(company) >= 4 THEN 'official_company' WHEN host = 'example.com' OR suffix(host, '.example.com') THEN 'reputable_news' ELSE 'generic_web' END AS quality,
+ CAST(3.5 + CASE WHEN contains(hay, lower(qt)) THEN 12 ELSE 0 END + CASE WHEN contains(hay, company) THEN 14 ELSE 0 END + CASE WHEN contains(hay, qm) THEN 3 ELSE 0 END + CASE WHEN contains(hay, 'layer ' || layer) THEN 2 ELSE 0 END
+  + coalesce(list_sum(list_transform(list_filter(tw, lambda w: contains(hay, w)), lambda w: CASE WHEN length(w) >= 6 THEN 3 ELSE 2 END)), 0) + CASE WHEN host = 'sec.gov' OR suffix(host, '.sec.gov') THEN 24 ELSE 0 END
+  + CASE WHEN regexp_matches(lower(url), '(investor|investors|investor-relations|/ir/)') THEN 18 ELSE 0 END + 12 + CASE WHEN host = 'example.com' OR suffix(host, '.example.com') THEN 8 ELSE 0 END
+  + CASE WHEN regexp_matches(text, '{R.CURRENT}') THEN 6 ELSE 0 END AS DOUBLE) AS score FROM ax JOIN qw USING (question_id))"""
+
+
+@query("V15_web_context_for_questions", f"""
+WITH {_CH}, {_QS}, {_ASKED}, best AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY {_QR}, score DESC, url) AS place FROM aq QUALIFY place <= 15), txt AS (SELECT u || '/' AS url, lower(max({READABLE_SQL})) AS t FROM pg GROUP BY u)
+SELECT question_id, b.url, CAST(place AS INTEGER) AS place, quality, score, CAST(len(list_filter(tw, lambda w: coalesce(contains(t, w), false))) AS INTEGER) AS page_hits FROM best b LEFT JOIN txt USING (url)""")
+def v15_many(v: Views):
+    address = F.concat(F.regexp_replace(F.regexp_extract("url", r"^[^?#]*", 0), "/$", ""), F.lit("/"))
+    texts = X.readable_text(v.table("pages").select(address.alias("url"), "html"))
+    pages = texts.groupBy("url").agg(F.max("text").alias("text"))
+    out = I.web_contexts(asked_results(v), pages, questions(v), REPUTABLE, F.to_date(F.lit(AS_OF)))
+    return out.select("question_id", "url", "place", "quality", "score", "page_hits")
+
+
+@query("T08_merge_for_questions", f"""
+WITH {_CH}, {_QS}, {_ASKED}, m AS (SELECT question_id, url AS chunk_id, quality, 0 AS pr, score FROM aq WHERE quality <> 'generic_web' UNION ALL SELECT question_id, chunk_id, 'local_context', CASE WHEN meaningful THEN 1 ELSE 0 END, CAST(score AS DOUBLE) FROM sc)
+SELECT question_id, chunk_id, quality, score, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY {_QR}, CASE WHEN quality = 'local_context' THEN pr ELSE 0 END, score DESC, chunk_id) AS place FROM m) WHERE place <= 18""")
+def t08_many(v: Views):
+    web = I.scored_results(asked_results(v), questions(v), REPUTABLE, F.to_date(F.lit(AS_OF))).where("quality <> 'generic_web'")
+    web = web.select("question_id", c("url").alias("chunk_id"), "quality", F.lit(0).alias("local_priority"), "score")
+    local = I.context_for_questions(chunks(v), questions(v), 18, GROUPS, plain_first=True).select(
+        "question_id", "chunk_id", F.lit("local_context").alias("quality"), c("meaningful").cast("int").alias("local_priority"), c("score").cast("double").alias("score"))
+    return I.merged_contexts(web, local).select("question_id", "chunk_id", "quality", "score", "place")

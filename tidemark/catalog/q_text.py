@@ -175,7 +175,7 @@ def x15(v: Views):
 
 
 _EV = rf"""
-rec AS (SELECT doc_id, pos, CASE WHEN pos <= 2 THEN 'Filing' ELSE 'Transcript' END AS source, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM v_paragraphs),
+rec AS (SELECT doc_id, pos, CASE WHEN pos <= 2 THEN 'Filing' ELSE 'Transcript' END AS source, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM v_paragraphs),
 ev AS (SELECT doc_id, source, min(pos) AS pos, arg_min(text, pos) AS text FROM rec WHERE length(text) >= 18 GROUP BY doc_id, source, lower(text))"""
 
 

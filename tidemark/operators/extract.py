@@ -349,22 +349,30 @@ def _attr(source: Column, name: str) -> Column:
 
 
 def _tagged(documents: DataFrame, pattern: str, name: Column, body: Column, column: str) -> DataFrame:
-    """Tagged numbers of each document with the dates and unit their ids point to."""
+    """Tagged numbers of each document with the dates and unit their ids point to; of equal ids the first one counts.
+
+    One scan turns a document into nodes (context, unit, fact). Facts meet their context, then their unit, under the id that they
+    share, so the work is in proportion to the nodes of a document, however many contexts it has.
+    """
+    c = F.col
     context = r"(?is)(<(?:\w+:)?context\b.*?</(?:\w+:)?context>)"
     unit = r"(?is)(<(?:\w+:)?unit\b.*?</(?:\w+:)?unit>)"
     inner = lambda x, tag: F.nullif(F.trim(F.regexp_extract(x, rf"(?is)<(?:\w+:)?{tag}\b[^>]*>([^<]+)<", 1)), F.lit(""))
-    bounds = lambda x: F.named_struct(F.lit("id"), _attr(x, "id"), F.lit("v"), F.named_struct(
-        F.lit("start_date"), inner(x, "startDate").try_cast("date"), F.lit("end_date"), inner(x, "endDate").try_cast("date"),
-        F.lit("segment"), F.when(x.rlike(r"(?i)<(?:\w+:)?(?:segment|scenario)\b"), S.strip_html(x))))
-    measure = lambda x: F.named_struct(F.lit("id"), _attr(x, "id"), F.lit("v"), F.substring_index(inner(x, "measure"), ":", -1))
     found = lambda p: F.regexp_extract_all(column, F.lit(p), F.lit(1))
-    first = lambda items: F.map_from_entries(F.aggregate(
-        F.filter(items, lambda x: x["id"].isNotNull()), F.slice(F.filter(items, lambda x: x["id"].isNotNull()), 1, 0),
-        lambda acc, x: F.when(F.exists(acc, lambda y: y["id"] == x["id"]), acc).otherwise(F.concat(acc, F.array(x)))))
-    rows = documents.select("doc_id", first(F.transform(found(context), bounds)).alias("contexts"), first(F.transform(found(unit), measure)).alias("units"),
-                            F.explode(found(pattern)).alias("tag"))
-    tagged = rows.withColumns({"qname": name, "body": S.strip_html(body), "context": F.try_element_at("contexts", _attr(F.col("tag"), "contextRef")),
-                               "unit": F.coalesce(F.try_element_at("units", _attr(F.col("tag"), "unitRef")), _attr(F.col("tag"), "unitRef"))})
+    node = lambda kind, p, space, attribute: F.transform(found(p), lambda x, i: F.struct(
+        F.lit(kind).alias("kind"), F.concat(F.lit(space), _attr(x, attribute)).alias("key"), i.alias("pos"), x.alias("xml")))
+    nodes = documents.select("doc_id", F.inline(F.concat(node("context", context, "c:", "id"), node("unit", unit, "u:", "id"), node("fact", pattern, "c:", "contextRef"))))
+    of = lambda kind: F.min(F.when(c("kind") == kind, F.struct("pos", "xml")))["xml"]
+    met = nodes.where("key IS NOT NULL").groupBy("doc_id", "key").agg(of("context").alias("x"), of("unit").alias("u"), F.collect_list(F.when(c("kind") == "fact", c("xml"))).alias("tags"))
+    # read once per context and unit, before facts multiply them
+    dated = met.select("doc_id", "key", "tags", F.substring_index(inner(c("u"), "measure"), ":", -1).alias("measure"), F.struct(
+        inner(c("x"), "startDate").try_cast("date").alias("start_date"), inner(c("x"), "endDate").try_cast("date").alias("end_date"),
+        F.when(c("x").rlike(r"(?i)<(?:\w+:)?(?:segment|scenario)\b"), S.strip_html(c("x"))).alias("segment")).alias("context"))
+    facts = dated.select("doc_id", "measure", "context", "key", F.explode_outer("tags").alias("tag")).where(c("tag").isNotNull() | c("measure").isNotNull())
+    target = F.when(c("tag").isNotNull(), F.concat(F.lit("u:"), F.coalesce(_attr(c("tag"), "unitRef"), F.lit("")))).otherwise(c("key"))
+    units = facts.withColumn("target", target).groupBy("doc_id", "target").agg(F.max("measure").alias("measure"), F.collect_list(F.when(c("tag").isNotNull(), F.struct("tag", "context"))).alias("f"))
+    rows = units.select("doc_id", "measure", F.inline("f"))
+    tagged = rows.withColumns({"qname": name, "body": S.strip_html(body), "unit": F.coalesce("measure", _attr(c("tag"), "unitRef"))})
     namespace = F.when(F.col("qname").contains(":"), F.substring_index("qname", ":", 1)).otherwise("extension")
     concept = F.substring_index("qname", ":", -1)
     value = N.parse_tagged_number(F.col("body"), _attr(F.col("tag"), "scale"), _attr(F.col("tag"), "sign"), _attr(F.col("tag"), "nil"))
