@@ -70,3 +70,21 @@ def test_filing_url_rejects_traversal(spark):
 
 def test_word_edges_are_ascii(spark):
     assert value(spark, F.lit("étion").rlike(S.rx(r"\btion\b"))) is True
+
+
+def test_word_edges_are_the_general_ones():
+    """Edges that look at one side match where the general edge does."""
+    import random
+    import re
+
+    from tidemark.functions import strings as S
+
+    patterns = [r"\bthe|and\b", r"tion\b", r"\b(?:non-gaap|adjusted)\b", r"\b(?:ab|c?)z", r"\b(ab|cd)?e", r"a?\bb", r"\s\b", r"\bx?y", r"\b[ab]", r"_\b", r"(?:x|\bab)\b", r"\b(a(b|c)|c)d"]
+    narrow = [p for p in patterns if S.rx(p) != p.replace(r"\b", S._EDGE)]
+    assert narrow and len(narrow) < len(patterns)
+    dice = random.Random(1)
+    for pattern in patterns:
+        ours, general = re.compile(S.rx(pattern)), re.compile(pattern.replace(r"\b", S._EDGE))
+        for _ in range(300):
+            text = "".join(dice.choice(["the", "and", "non-gaap", "adjusted", "é", " ", "-", "x", "y", "ab", "c", "z", "d", "e", "1", "_", "tion"]) for _ in range(dice.randint(0, 9)))
+            assert [m.span() for m in ours.finditer(text)] == [m.span() for m in general.finditer(text)], (pattern, text)

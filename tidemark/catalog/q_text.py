@@ -208,7 +208,7 @@ SELECT p.doc_id, p.pos, len(list_filter({_NUM_SQL.format(x='p.text')}, lambda n:
  AND (len(a) = 0 OR len(list_intersect(a, b)) >= least(2, len(a))) AS supported
 FROM v_paragraphs p JOIN v_paragraphs q ON p.doc_id = q.doc_id AND p.pos = q.pos + 1, LATERAL (SELECT {_TERMS.format(x='p.text')} AS a, {_TERMS.format(x='q.text')} AS b)""")
 def x17(v: Views):
-    return T.with_support(claims(v)).select("doc_id", "pos", "supported")
+    return T.support_of_previous(v.paragraphs(), "doc_id", "pos").select("doc_id", "pos", "supported")
 
 
 _SIG = r"array_to_string(list_filter(string_split(regexp_replace(lower(trim(regexp_replace({x}, '\s+', ' ', 'g'))), '[^a-z0-9%$]+', ' ', 'g'), ' '), lambda w: w <> '')[1:14], ' ')"

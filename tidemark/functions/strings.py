@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,9 +12,53 @@ _WORD = "[A-Za-z0-9_]"
 _EDGE = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
 
 
+def _starts_with_word(pattern: str) -> bool:
+    """Whether every match of the pattern's first item begins with an ASCII word character, as far as a glance tells."""
+    if re.match(r"[A-Za-z0-9_](?![?*{])", pattern):
+        return True
+    group = re.match(r"\((?:\?:)?(?!\?)", pattern)
+    if not group:
+        return False
+    depth, place, begin = 0, group.end(), True
+    while place < len(pattern):
+        ch = pattern[place]
+        if begin and depth == 0 and not re.match(r"[A-Za-z0-9_](?![?*{])", pattern[place:]):
+            return False
+        begin = False
+        if ch == "\\":
+            place += 1
+        elif ch == "[":
+            return False
+        elif ch == "(":
+            depth += 1
+        elif ch == ")":
+            if depth == 0:
+                # an optional group may be skipped
+                return not re.match(r"[?*{]", pattern[place + 1 :])
+            depth -= 1
+        elif ch == "|" and depth == 0:
+            begin = True
+        place += 1
+    return False
+
+
 def rx(pattern: str) -> str:
-    """Pattern whose word edges look at ASCII letters only, whatever the Java version does with accents."""
-    return pattern.replace(r"\b", _EDGE)
+    """Pattern whose word edges look at ASCII letters only, whatever the Java version does with accents.
+
+    Where a word character must follow, the edge is only that none goes before, which is tried at every place of a text far faster;
+    likewise where one must go before.
+    """
+    parts = pattern.split(r"\b")
+    out = parts[0]
+    for before, after in zip(parts, parts[1:], strict=False):
+        if _starts_with_word(after):
+            edge = f"(?<!{_WORD})"
+        elif re.search(r"(?:^|[^\\])[A-Za-z0-9_]$", before):
+            edge = f"(?!{_WORD})"
+        else:
+            edge = _EDGE
+        out += edge + after
+    return out
 
 
 def pad_cik(cik: Column) -> Column:

@@ -212,7 +212,7 @@ def takeaways(rows: DataFrame, key: str, groups: list[dict], subjects: list[tupl
 
 def topics(documents: DataFrame, key: str, rules: list[tuple[str, str]] | None = None, n: int = 6) -> DataFrame:
     """Themes by number of matches in the whole text, best ``n`` per call."""
-    counts = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(name).alias("label"), F.size(F.regexp_extract_all("text", F.lit(S.rx(p)), F.lit(1))).alias("score"))
+    counts = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(name).alias("label"), F.regexp_count("text", F.lit(S.rx(p))).alias("score"))
                        for i, (name, p) in enumerate(rules or TOPICS)])
     rows = documents.select(key, F.inline(counts)).where("score > 0")
     return top_n_per_key(rows, [key], [F.desc("score"), F.col("rule")], n, rank="item")
@@ -271,19 +271,36 @@ def evidence_terms(text: Column) -> Column:
     return F.array_except(F.filter(words, lambda w: F.length(w) >= 4), F.array(*[F.lit(w) for w in EVIDENCE_STOPS]))
 
 
+def support_features(text: Column) -> Column:
+    """What a text brings as a claim or as its evidence: terms, numbers and accounting wording."""
+    return F.struct(
+        evidence_terms(text).alias("terms"), S.number_tokens(text).alias("numbers"), S.accounting_basis(text).alias("basis"),
+        text.rlike(S.rx(r"(?i)\bEPS|earnings per share|gross margin|operating margin|operating income|EBITDA|EBIT|net income\b")).alias("labelled"),
+        text.rlike(S.rx(r"(?i)\bnon-gaap\b|\badjusted\b")).alias("adjusted"), text.rlike(S.rx(r"(?i)\bgaap\b")).alias("gaap"))
+
+
+def is_supported(claim: Column, cited: Column) -> Column:
+    """No number in the claim beyond those cited, enough shared terms, the accounting label kept; of two ``support_features``."""
+    n = F.size(claim["terms"])
+    numbers = F.size(F.array_except(claim["numbers"], cited["numbers"])) == 0
+    enough = (n == 0) | (F.size(F.array_intersect(claim["terms"], cited["terms"])) >= F.least(F.lit(2), n))
+    missing = claim["labelled"] & F.when(cited["basis"] == "non-GAAP", ~claim["adjusted"]).when(cited["basis"] == "GAAP", ~claim["gaap"]).otherwise(F.lit(False))
+    return numbers & enough & ~missing
+
+
 def with_support(df: DataFrame) -> DataFrame:
-    """Add ``supported``: no number in ``text`` beyond those ``cited``, enough shared terms, the accounting label kept."""
-    c = F.col
-    rows = once(df, {
-        "__terms": evidence_terms(c("text")), "__cited_terms": evidence_terms(c("cited")), "__numbers": S.number_tokens(c("text")),
-        "__cited_numbers": S.number_tokens(c("cited")), "__basis": S.accounting_basis(c("cited"))})
-    n = F.size("__terms")
-    numbers = F.size(F.array_except("__numbers", "__cited_numbers")) == 0
-    enough = (n == 0) | (F.size(F.array_intersect("__terms", "__cited_terms")) >= F.least(F.lit(2), n))
-    labelled = c("text").rlike(S.rx(r"(?i)\bEPS|earnings per share|gross margin|operating margin|operating income|EBITDA|EBIT|net income\b"))
-    missing = labelled & F.when(c("__basis") == "non-GAAP", ~c("text").rlike(S.rx(r"(?i)\bnon-gaap\b|\badjusted\b"))).when(
-        c("__basis") == "GAAP", ~c("text").rlike(S.rx(r"(?i)\bgaap\b"))).otherwise(F.lit(False))
-    return once(rows, {"supported": numbers & enough & ~missing}).select(*df.columns, "supported")
+    """Add ``supported``: whether ``text`` holds by what it ``cited``."""
+    rows = once(df, {"__claim": support_features(F.col("text")), "__cited": support_features(F.col("cited"))})
+    return once(rows, {"supported": is_supported(F.col("__claim"), F.col("__cited"))}).select(*df.columns, "supported")
+
+
+def support_of_previous(paragraphs: DataFrame, key: str, pos: str) -> DataFrame:
+    """Paragraphs with one right before them, each as a claim on that one; every paragraph's features are found once, behind the one
+    exchange that brings a document together."""
+    placed = once(paragraphs.repartition(key), {"__own": support_features(F.col("text"))})
+    w = Window.partitionBy(key).orderBy(pos)
+    before = placed.withColumns({"__cited": F.lag("__own").over(w), "__at": F.lag(pos).over(w)}).where(F.col("__at") == F.col(pos) - 1)
+    return before.withColumn("supported", is_supported(F.col("__own"), F.col("__cited"))).drop("__own", "__cited", "__at")
 
 
 def signature(text: Column, words: int = 14) -> Column:
