@@ -16,7 +16,6 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from functools import cache
 from itertools import islice
 
 import numpy as np
@@ -231,9 +230,14 @@ def _unpacked(text: str) -> dict[State, set[State]]:
     return {tuple(a): {tuple(x) for x in b} for a, b in json.loads(text)}
 
 
-@cache
+#: A plain dictionary, which travels to the tasks by value with the function below; a cache of functools would be looked up by name.
+_KNOWN: dict[bytes, Pieces] = {}
+
+
 def _pieces(model: bytes) -> Pieces:
-    return Pieces(model)
+    if model not in _KNOWN:
+        _KNOWN[model] = Pieces(model)
+    return _KNOWN[model]
 
 
 def _giants(rows: DataFrame, model: bytes, chunk: int, block: int) -> DataFrame:
