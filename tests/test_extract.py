@@ -41,3 +41,27 @@ def test_readable_text_keeps_long_lines(spark):
     html = "<html><title>A &amp; B</title><div></div><nav>" + "n" * 50 + "</nav><p>" + "word " * 10 + "</p><p>short</p></html>"
     out = X.readable_text(spark.createDataFrame([(html,)], "html string")).first()
     assert (out.title, out.text) == ("A & B", ("word " * 10).strip())
+
+
+def test_plain_reader_agrees_with_the_library_parser():
+    odd = ["", "<table><tr><td>a<td>b</table>", "<TABLE><TR><TH COLSPAN='2'>a &amp; b</TH></TR></TABLE>", "<script>var x = '<table>';</script><table><td/>", "<table><td>1 < 2</td></table>",
+           "<!-- <table> --><table><caption>c</caption><tr><td colspan=\"&#50;\">x</table>", "<title><table></title>", "<table><td a=b>x</td></table>", "<style>td</style><table><td>5</td", HTML]
+    read = 0
+    for html in odd:
+        parser = X._Tables()
+        parser.feed(html)
+        parser.close()
+        assert X._parse(html) == parser.tables
+        read += X._plain(html) is not None
+    assert read == 6
+
+
+def test_pages_of_a_small_file_are_dealt_out(spark, tmp_path):
+    from tidemark.catalog.q_documents import pages
+    from tidemark.catalog.views import Views
+
+    rows = [(i, i, "1-URGENT") for i in range(64)]
+    orders = spark.createDataFrame(rows, "o_orderkey bigint, o_custkey bigint, o_orderpriority string").selectExpr("*", "timestamp '1996-05-05' AS o_orderdate")
+    orders.coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    sizes = pages(Views(spark, str(tmp_path))).rdd.glom().map(len).collect()
+    assert sum(sizes) == 64 and max(sizes) <= 16
