@@ -304,13 +304,14 @@ def support_of_previous(paragraphs: DataFrame, key: str, pos: str) -> DataFrame:
 
 
 def signature(text: Column, words: int = 14) -> Column:
-    parts = F.filter(F.split(F.regexp_replace(F.lower(S.normalize_ws(text)), r"[^a-z0-9%$]+", " "), " "), lambda w: w != "")
-    return F.array_join(F.slice(parts, 1, words), " ")
+    # no more of a text is read than its first words
+    head = F.regexp_extract(F.lower(text), f"(?s)^[^a-z0-9%$]*+(?:[a-z0-9%$]++[^a-z0-9%$]*+){{0,{words}}}", 0)
+    return F.trim(F.regexp_replace(head, r"[^a-z0-9%$]+", " "))
 
 
 def dedupe_items(items: DataFrame, key: str) -> DataFrame:
     """First item of each signature of fourteen words."""
-    rows = items.withColumn("__s", signature(F.col("text"))).where("__s <> ''")
+    rows = once(items, {"__s": signature(F.col("text"))}).where("__s <> ''")
     return top_n_per_key(rows, [key, "__s"], [F.col("pos")]).drop("__s")
 
 
@@ -333,8 +334,10 @@ def not_covered_guidance(generated: DataFrame, fallback: DataFrame, key: str) ->
 def validated_groups(draft: DataFrame, fallback: DataFrame, key: str) -> DataFrame:
     """Supported draft items per group, else the fallback items of the group. ``draft`` has cited text per item."""
     good = dedupe_items(with_support(draft).where("supported").drop("supported").withColumn("__g", F.concat_ws("|", key, "group")), "__g").drop("__g", "cited")
-    rest = fallback.join(good.select(key, "group").distinct(), [key, "group"], "left_anti")
-    return good.withColumn("origin", F.lit("DRAFT")).unionByName(rest.withColumn("origin", F.lit("FALLBACK")))
+    both = good.withColumn("origin", F.lit("DRAFT")).unionByName(fallback.withColumn("origin", F.lit("FALLBACK")))
+    # support is found once: a group is known by its own rows, not by a join with them
+    drafted = F.count_if(F.col("origin") == "DRAFT").over(Window.partitionBy(key, "group")) > 0
+    return both.withColumn("__drafted", drafted & F.col(key).isNotNull() & F.col("group").isNotNull()).where("origin = 'DRAFT' OR NOT __drafted").drop("__drafted")
 
 
 def exchange_with_analysis(exchanges: DataFrame, analyses: DataFrame) -> DataFrame:
