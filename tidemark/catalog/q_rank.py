@@ -61,22 +61,15 @@ def t06(v: Views):
 _CTX = f"""ranked AS (SELECT * FROM (SELECT '{Q1['text']}' AS query, * FROM ({scored_sql(Q1)}) ORDER BY score DESC, chunk_id LIMIT 10) UNION ALL SELECT * FROM (SELECT '{Q2['text']}' AS query, * FROM ({scored_sql(Q2)}) ORDER BY score DESC, chunk_id LIMIT 10))"""
 
 
-def context(v: Views):
-    rows = chunks(v)
-    each = [R.top_chunks(R.score_chunks(rows, q, GROUPS)).withColumn("query", F.lit(q["text"])) for q in (Q1, Q2)]
-    return each[0].unionByName(each[1])
-
-
 @query("V14_context_for_query", f"""
 WITH {_CH}, {_CTX} SELECT r.query, chunk_id, score, m AS meaningful_count, m < 2 AS thin FROM ranked r JOIN (SELECT query, count(*) FILTER (meaningful) AS m FROM ranked GROUP BY query) USING (query)""")
 def v14(v: Views):
-    counts = context(v).groupBy("query").agg(F.count_if(c("meaningful")).alias("meaningful_count"))
-    return context(v).join(counts, "query").select("query", "chunk_id", "score", "meaningful_count", (c("meaningful_count") < 2).alias("thin"))
+    return R.context_for_queries(chunks(v), [Q1, Q2], groups=GROUPS).select("query", "chunk_id", "score", "meaningful_count", "thin")
 
 
 @query("X25_thin_context", f"WITH {_CH}, {_CTX} SELECT query, count(*) FILTER (meaningful) < 2 AS thin FROM ranked GROUP BY query")
 def x25(v: Views):
-    return R.thin_context(context(v))
+    return R.thin_context(R.top_chunks_of_queries(chunks(v), [Q1, Q2], groups=GROUPS))
 
 
 def questions(v: Views):

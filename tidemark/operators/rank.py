@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import strings as S
@@ -25,21 +25,30 @@ def _token_score(content: Column, tokens: Column, hit: int) -> Column:
     return F.size(shared) * 2 + F.size(F.filter(shared, lambda t: F.length(t) >= 6))
 
 
-def score_chunks(chunks: DataFrame, question: dict, groups: list[list[str]] | None = None) -> DataFrame:
-    """Score of every chunk for one question. Chunks: chunk_id, heading, content, ticker, theme, base."""
+def _folded(chunks: DataFrame) -> DataFrame:
+    """Chunks with the tokens of content and heading and the content in lower case."""
+    c = F.col
+    return once(chunks, {"__c": S.tokenize(c("content")), "__h": S.tokenize(c("heading")), "__low": F.lower("content")})
+
+
+def _score(question: dict, groups: list[list[str]] | None) -> Column:
+    """Score of a folded chunk for one question."""
     c = F.col
     words = [w for w in _tokens(" ".join(str(question.get(k, "")) for k in ("text", "ticker", "company", "theme")) + f" layer {question['layer']}") if w not in S.STOP_WORDS]
     for group in S.SYNONYM_GROUPS if groups is None else groups:
         if any(w in words for w in group):
             words += [w for w in group if w not in words]
     tokens = F.array(*[F.lit(w) for w in dict.fromkeys(words)]).cast("array<string>")
-    rows = once(chunks, {"__c": S.tokenize(c("content")), "__h": S.tokenize(c("heading")), "__low": F.lower("content")})
     bonus = lambda condition, points: F.when(F.coalesce(condition, F.lit(False)), points).otherwise(0)
-    score = (
+    return (
         F.coalesce("base", F.lit(0)) + bonus(F.upper("ticker") == question["ticker"], 10) + bonus(c("__low").contains(question["company"].lower()), 8)
         + bonus((c("theme") == question["theme"]) | c("__low").contains(question["theme"]), 4) + bonus(c("__low").contains(f"layer {question['layer']}"), 5)
         + _token_score(c("__h"), tokens, 5) + _token_score(c("__c"), tokens, 0))
-    return rows.withColumn("score", score).drop("__c", "__h", "__low")
+
+
+def score_chunks(chunks: DataFrame, question: dict, groups: list[list[str]] | None = None) -> DataFrame:
+    """Score of every chunk for one question. Chunks: chunk_id, heading, content, ticker, theme, base."""
+    return _folded(chunks).withColumn("score", _score(question, groups)).drop("__c", "__h", "__low")
 
 
 def _tokens(text: str) -> list[str]:
@@ -50,12 +59,18 @@ def top_chunks(scored: DataFrame, n: int = 10) -> DataFrame:
     return scored.orderBy(F.desc("score"), "chunk_id").limit(n)
 
 
-def context_for_queries(chunks: DataFrame, questions: list[dict], n: int = 10) -> DataFrame:
+def top_chunks_of_queries(chunks: DataFrame, questions: list[dict], n: int = 10, groups: list[list[str]] | None = None) -> DataFrame:
+    """(query, chunk_id, score, meaningful) of the best chunks of a few questions; chunks are read and folded once for all of them."""
+    each = F.array(*[F.struct(F.lit(q["text"]).alias("query"), _score(q, groups).alias("score")) for q in questions])
+    scored = _folded(chunks).select("chunk_id", "meaningful", F.inline(each))
+    return top_n_per_key(scored, ["query"], [F.desc("score"), F.col("chunk_id")], n)
+
+
+def context_for_queries(chunks: DataFrame, questions: list[dict], n: int = 10, groups: list[list[str]] | None = None) -> DataFrame:
     """Best chunks of each question with the number of meaningful ones among them."""
-    each = [top_chunks(score_chunks(chunks, q), n).withColumn("query", F.lit(q["text"])) for q in questions]
-    rows = reduce(lambda a, b: a.unionByName(b), each)
-    counts = rows.groupBy("query").agg(F.count_if(F.col("meaningful")).alias("meaningful_count"))
-    return rows.join(counts, "query").withColumn("thin", F.col("meaningful_count") < 2)
+    rows = top_chunks_of_queries(chunks, questions, n, groups)
+    rows = rows.withColumn("meaningful_count", F.count_if(F.col("meaningful")).over(Window.partitionBy("query")))
+    return rows.withColumn("thin", F.col("meaningful_count") < 2)
 
 
 def thin_context(ranked: DataFrame) -> DataFrame:
