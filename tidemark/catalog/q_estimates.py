@@ -42,6 +42,8 @@ plan AS (SELECT e.ticker, e.metric, e.period, e.value AS annual, CAST(w.slot AS
 
 
 def planned(v: Views):
+    # estimates, shares and filed rows all rest on the quarters of the line items
+    v.keep("quarter_wide")
     return E.estimate_to_quarters(v.estimates().where("metric = 'revenue'"), E.seasonality(filed(v)))
 
 

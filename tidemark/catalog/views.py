@@ -8,6 +8,8 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import written
+
 METRICS = ["revenue", "costOfRevenue", "operatingCashFlow", "capitalExpenditures", "ebit", "adjustedEbitda"]
 
 OBS_COLS = [
@@ -48,6 +50,11 @@ class Views:
             self.counts["lines"] = self.table("lineitem").count()
         return df.repartition(max(self.spark.sparkContext.defaultParallelism, -(-self.counts["lines"] // per_task)), key)
 
+    def keep(self, view: str) -> None:
+        """Writes the rows of a view once, for a query that asks for it several times; call it before views that rest on it."""
+        if ("kept", view) not in self.known:
+            self.known[("kept", view)] = self.known[(view,)] = written(getattr(self, view)(), view)
+
     @staticmethod
     def _key(col: str, prefix: str = "S"):
         return F.concat(F.lit(prefix), F.lpad(F.col(col).cast("string"), 10, "0"))
