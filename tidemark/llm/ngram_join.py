@@ -4,14 +4,15 @@
 2. A class that links to another lacks at most ``misses(n)`` of its n shingles there, so of any part of the hash space with
    a of its shingles at least a - misses(n) occur in another class. A quarter of the space is counted; what passes is read
    again and counted with all its shingles. The test loses no link, it only drops classes that cannot have one.
-3. Shingles are put into one global order, common ones last. Linked sets share one of the first misses(n) + 1 shingles;
-   classes joined by such a shingle form a cluster (edges per shingle lead to its smallest class, so they stay linear).
-4. Each cluster is joined in a trie of its sets. A query walks it with the overlap so far, shared by all sets below a node,
+3. Shingles are put into one global order by their exact frequency, common ones last. Linked sets share one of the first
+   misses(n) + 1 shingles; classes joined by such a shingle form a cluster (edges per shingle lead to its smallest class, so
+   they stay linear). A cluster larger than a block is taken apart into its stars: a class and all that meet at it by an edge.
+4. Each cluster or star is joined in a trie of its sets. A query walks it with the overlap so far, shared by all sets below a node,
    and leaves a subtree when overlap plus what both sides have left cannot reach the needed size. Only links between
    different components are looked for: a cluster needs its connected parts, not all pairs.
-5. A cluster larger than a task is cut into blocks. Each block is joined with itself and with block 0; then sets outside the
-   largest component of the cluster are joined with every block. Near copies fall into one component in the first step, so
-   the work stays in proportion to the rows and no task holds a whole cluster.
+5. A star larger than a task is cut into blocks. Each block is joined with itself and with block 0; then sets outside the
+   largest component of the star are joined with every block. Near copies fall into one component in the first step, so
+   the work stays in proportion to the rows and no task holds a whole star.
 """
 
 from __future__ import annotations
@@ -32,13 +33,13 @@ SHINGLE = 5
 PERCENT = 80
 #: Share of the hash space whose shingles serve the first, cheap filter.
 SAMPLED = 0.25
-#: Commonest shingles that are known to every task; a fixed number, 16 bytes each.
+#: Shingles of at least this frequency are equally common.
 COMMON = 1 << 16
 #: A set counts as its shingles plus SET_COST; a block holds BLOCK of that, about 1,500 sets of ordinary length.
 SET_COST = 512
 BLOCK = 1 << 20
 #: Shingles that a task gathers before it hands them on.
-GATHERED = 1 << 22
+GATHERED = 1 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -159,53 +160,70 @@ def shared_shingles(sets: DataFrame, buckets: int) -> DataFrame:
     return counted.groupBy("key").agg(F.sum("shared").alias("shared"))
 
 
-def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The COMMON most frequent shingles, sorted, and the rank of each: rarer ones first.
+def ordered_prefixes(sets: DataFrame, buckets: int, parts: int) -> DataFrame:
+    """(key, shared, prefix) of every class that shares a shingle: how many it shares, and the first of them, rare ones first.
 
-    Tasks count what they gather and leave out what they met once, so frequencies are lower bounds. Any order is a right one,
-    as long as all tasks use the same; this one only has to put what very many sets share behind the rest.
+    ``sets`` has key and shingles. Frequencies are exact, up to COMMON. Of ``shared`` shingles a set that passes the test needs a fifth
+    and one more at most; shingles that it shares with nobody would stand before them and meet nobody. Shingles travel as packed
+    arrays, to buckets of the hash space and back to ``parts`` of the classes.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, keys, size = [], [], 0
 
         def send():
-            found, times = np.unique(np.concatenate(held), return_counts=True)
-            return pa.record_batch([pa.array(found[times > 1]), pa.array(times[times > 1])], ["shingle", "n"])
+            tokens, owners = np.concatenate(values), np.concatenate(keys)
+            part = (tokens.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+            return _packed(part, tokens, owners)
 
         for batch in batches:
-            held.append(_flat(batch.column("shingles"))[0])
-            size += len(held[-1])
+            tokens, lengths = _flat(batch.column("shingles"))
+            values.append(tokens)
+            keys.append(np.repeat(batch.column("key").to_numpy(zero_copy_only=False), lengths))
+            size += len(tokens)
             if size >= GATHERED:
                 yield send()
-                held, size = [], 0
-        if held:
+                values, keys, size = [], [], 0
+        if size:
             yield send()
 
-    counts = sets.select("shingles").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 2")
-    top = counts.orderBy(F.desc("n"), "shingle").limit(COMMON).collect()
-    shingles = np.array([r["shingle"] for r in top], np.int64)
-    ranks = np.arange(len(top), 0, -1)
-    order = np.argsort(shingles)
-    return shingles[order], ranks[order]
-
+    def count(group: pa.Table) -> pa.Table:
+        tokens, owners = (np.concatenate([np.frombuffer(x, np.int64) for x in group.column(c).to_pylist()]) for c in ("first", "second"))
+        order = np.lexsort((owners, tokens))
+        tokens, owners = tokens[order], owners[order]
+        single = np.r_[True, (tokens[1:] != tokens[:-1]) | (owners[1:] != owners[:-1])]
+        tokens, owners = tokens[single], owners[single]
+        place = np.cumsum(np.r_[True, tokens[1:] != tokens[:-1]]) - 1
+        times = np.bincount(place)[place]
+        met = times > 1
+        tokens, owners, times = tokens[met], owners[met], np.minimum(times[met], COMMON).astype(np.int32)
+        return pa.Table.from_batches([_packed((owners.view(np.uint64) % np.uint64(parts)).astype(np.int32), tokens, owners, times)])
+
+    def choose(group: pa.Table) -> pa.Table:
+        tokens, owners = (np.concatenate([np.frombuffer(x, np.int64) for x in group.column(c).to_pylist()]) for c in ("first", "second"))
+        times = np.concatenate([np.frombuffer(x, np.int32) for x in group.column("third").to_pylist()])
+        order = np.lexsort((tokens, times, owners))
+        tokens, owners = tokens[order], owners[order]
+        starts = np.flatnonzero(np.r_[True, owners[1:] != owners[:-1]])
+        shared = np.diff(np.r_[starts, len(owners)])
+        most = shared - (PERCENT * shared + 99) // 100 + 1
+        first = np.arange(len(owners)) - np.repeat(starts, shared) < np.repeat(most, shared)
+        prefix = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(most)], pa.int32()), pa.array(tokens[first]))
+        return pa.table({"key": owners[starts], "shared": shared.astype(np.int64), "prefix": prefix})
 
-def prefix_edges(sets: DataFrame, common: np.ndarray, ranks: np.ndarray) -> DataFrame:
-    """(node, shingle) for the first misses(n) + 1 shingles of each set in the global order."""
+    dealt = sets.select("key", "shingles").mapInArrow(deal, "part int, first binary, second binary")
+    counted = dealt.groupBy("part").applyInArrow(count, "part int, first binary, second binary, third binary")
+    return counted.groupBy("part").applyInArrow(choose, "key long, shared long, prefix array<long>")
 
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tokens, lengths = _flat(batch.column("shingles"))
-            at = np.minimum(np.searchsorted(common, tokens), max(len(common) - 1, 0))
-            rank = np.where(common[at] == tokens, ranks[at], 0) if len(common) else np.zeros(len(tokens), np.int64)
-            take = lengths - (PERCENT * lengths + 99) // 100 + (lengths > 0)
-            owner = np.repeat(np.arange(len(lengths)), lengths)
-            order = np.lexsort((tokens, rank, owner))
-            place = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            first = order[place < np.repeat(take, lengths)]
-            yield pa.record_batch([batch.column("node").take(pa.array(owner[first])), pa.array(tokens[first])], ["node", "shingle"])
 
-    return sets.select("node", "shingles").mapInArrow(choose, "node binary, shingle long")
+def _packed(part: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    """A row per part with the bytes of each column's values there."""
+    order = np.argsort(part, kind="stable")
+    part, columns = part[order], [x[order] for x in columns]
+    cuts = np.flatnonzero(np.diff(part)) + 1
+    pieces = list(zip(np.r_[0, cuts], np.r_[cuts, len(part)], strict=True)) if len(part) else []
+    values = [pa.array([int(part[a]) for a, _ in pieces], pa.int32()), *[pa.array([x[a:b].tobytes() for a, b in pieces], pa.binary()) for x in columns]]
+    return pa.record_batch(values, ["part", "first", "second", "third"][: len(values)])
 
 
 class _Trie:
@@ -337,18 +355,23 @@ def _task(*parts: Column) -> Column:
     return F.concat(F.col("cluster"), *[F.unhex(F.lpad(F.hex(p.cast("long")), 16, "0")) for p in parts])
 
 
-def linked_classes(sets: DataFrame) -> DataFrame:
-    """(node, root) of all nodes with a link. ``sets`` has node, n and shingles, and any number of rows per node."""
-    common, ranks = common_shingles(sets)
-    edges = prefix_edges(sets, common, ranks)
+def linked_classes(sets: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, root) of all nodes with a link. ``sets`` has node, n and shingles, a row per node; ``edges`` (node, shingle) of the prefixes."""
     centres = edges.groupBy("shingle").agg(F.min("node").alias("v"), F.max("node").alias("top")).where("v != top").select(F.col("shingle").alias("of"), "v")
     meetings = edges.join(centres, F.col("shingle") == F.col("of")).where("node != v").select(F.col("node").alias("u"), "v").distinct()
+    meetings = staged(meetings, "join-meetings")
     clusters = components(meetings).select(F.col("node").alias("member"), F.col("root").alias("cluster"))
 
     sized = sets.select("node", "n").dropDuplicates(["node"]).join(clusters, F.col("node") == F.col("member")).select("member", "cluster", (F.col("n") + SET_COST).alias("cost"))
-    blocks = sized.groupBy("cluster").agg(F.ceil(F.sum("cost") / BLOCK).cast("int").alias("blocks")).withColumnRenamed("cluster", "c")
-    placed = sized.join(blocks, F.col("cluster") == F.col("c")).select("member", "cluster", "cost", "blocks", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int").alias("block"))
-    placed = staged(placed, "join-clusters")
+    totals = sized.groupBy("cluster").agg(F.sum("cost").alias("total")).withColumnRenamed("cluster", "c")
+    sized = staged(sized.join(totals, F.col("cluster") == F.col("c")).drop("c"), "join-clusters")
+    # a cluster above a block is chained together by shingles; all sets with one of them meet at its smallest set
+    stars = meetings.unionByName(meetings.select(F.col("v").alias("u"), "v").distinct())
+    chained = sized.where(F.col("total") > BLOCK).select("member", "cost").join(stars, F.col("u") == F.col("member")).select("member", F.col("v").alias("cluster"), "cost")
+    units = staged(sized.where(F.col("total") <= BLOCK).select("member", "cluster", "cost").unionByName(chained), "join-units")
+    blocks = units.groupBy("cluster").agg(F.ceil(F.sum("cost") / BLOCK).cast("int").alias("blocks")).withColumnRenamed("cluster", "c")
+    placed = units.join(blocks, F.col("cluster") == F.col("c")).select("member", "cluster", "cost", "blocks", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int").alias("block"))
+    placed = staged(placed, "join-placed")
 
     # tasks are made out of narrow rows; shingles join them once, at the end
     goals = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
@@ -392,11 +415,13 @@ def _grouped(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     again = _chosen_rows(keyed.select("doc_id", "text", "__k1", "__k2"), able)
     full, path = staged_at(shingle_sets(again).select("node", "key", "n", "shingles"), "join-shingles")
     # the same test over all shingles: what most of a set shares with nobody left cannot be linked
-    common = shared_shingles(full, buckets).withColumnRenamed("key", "of")
-    sets = full.join(common, F.col("key") == F.col("of")).where((F.col("n") > 0) & (F.col("shared") >= F.col("n") - misses(F.col("n"))))
-    sets = staged(sets.select("node", "n", "shingles"), "join-shared")
+    tokens = full.agg(F.sum("n")).first()[0] or 0
+    prefixes = staged(ordered_prefixes(full, max(16, tokens >> 19), max(16, tokens >> 21)).withColumnRenamed("key", "of"), "join-prefixes")
+    spare = F.col("shared") - F.col("n") + misses(F.col("n"))
+    edges = full.where("n > 0").select("node", "key", "n").join(prefixes, F.col("key") == F.col("of")).where(spare >= 0)
+    edges = edges.select("node", F.explode(F.slice("prefix", F.lit(1), (spare + 1).cast("int"))).alias("shingle"))
+    roots = linked_classes(full, edges)
     removed(spark, path)
-    roots = linked_classes(sets)
     named = classes.select(F.col("node").alias("c"), "least").join(roots, F.col("c") == F.col("node"), "left")
     return narrow, named.select("c", "least", F.coalesce("root", "c").alias("root"))
 
