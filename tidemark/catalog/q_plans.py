@@ -243,6 +243,7 @@ def s14(v: Views):
 
 @query("S16_write_audit", "SELECT ticker, metric, period, value, CASE WHEN year % 2 = 0 THEN status ELSE 'EARLIER_RUN' END AS status FROM v_cells")
 def s16(v: Views):
+    v.keep("cells")
     path = folder(v, "audit")
     cells = lambda rows: rows.select("ticker", "metric", "period", "value", "status")
     SK.write_audit(cells(v.cells().withColumn("status", F.lit("EARLIER_RUN"))), path)

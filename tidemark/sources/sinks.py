@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.keyed import top_n_per_key
+from tidemark.session import written
 from tidemark.sources import keyed_store
 
 
@@ -69,6 +70,8 @@ def read_audit(spark: SparkSession, path: str, version: int | None = None) -> Da
 def write_audit(records: DataFrame, path: str) -> int:
     """JSON and CSV of this run's records; the stored table, in which they replace those of their ticker, metric and period;
     and a manifest with a content hash per ticker of the run. Returns the table's version; a run that ends early leaves the table as it was."""
+    # four outputs read the records
+    records = written(records, "audit-records")
     records.write.mode("overwrite").json(f"{path}/json")
     export_table(records, f"{path}/csv")
     replaced = lambda old, new: old.join(new.select(*AUDIT_KEY).distinct(), AUDIT_KEY, "left_anti").unionByName(new)
